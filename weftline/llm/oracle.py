@@ -14,6 +14,29 @@ reviews AS (SELECT review_id, any_value(coalesce(review_clean, regexp_replace(re
 rbag AS (SELECT review_id, term, count(*) AS n FROM (SELECT review_id, unnest(string_split_regex(lower(words), '\s+')) AS term FROM reviews WHERE words IS NOT NULL) WHERE term <> '' GROUP BY ALL),
 rstat AS (SELECT term, sum(n) AS occurrences, count(*) AS records FROM rbag GROUP BY term)"""
 
+_LOAN_EQUAL = ["grade", "sub_grade", "term", "home_ownership", "emp_length", "purpose"]
+_LOAN_NEAR = ["annual_inc", "funded_amnt", "dti", "revol_util", "total_rec_int"]
+
+
+def _loans_alike() -> str:
+    gap = " + ".join(f"(a.{f} IS NULL OR b.{f} IS NULL)::INT" for f in [*_LOAN_EQUAL, "open_acc", *_LOAN_NEAR])
+    tests = [f"coalesce(a.{f} = b.{f}, true)" for f in [*_LOAN_EQUAL, "open_acc"]]
+    tests += [f"coalesce(abs(a.{f} - b.{f}) <= 0.005 * greatest(abs(a.{f}), abs(b.{f})) + 1e-12, true)" for f in _LOAN_NEAR]
+    return f"{gap} <= 1 AND " + " AND ".join(tests)
+
+
+_LOANS = f"""loans AS (SELECT DISTINCT ON (loan_id) loan_id, split, {', '.join(f"lower(trim({f})) AS {f}" for f in _LOAN_EQUAL)}, open_acc, {', '.join(f'{f}::DOUBLE AS {f}' for f in _LOAN_NEAR)}
+  FROM lending_club_data WHERE loan_id IS NOT NULL)"""
+
+_P6 = f"""WITH {_REVIEW_TERMS},
+sized AS (SELECT review_id, count(*) AS n FROM rbag GROUP BY review_id HAVING count(*) >= 12),
+side AS (SELECT DISTINCT review_id, split = 'train' AS in_train FROM amazon_baby WHERE split IS NOT NULL),
+shared AS (SELECT a.review_id AS x, b.review_id AS y, count(*) AS c FROM rbag a JOIN side sa ON a.review_id = sa.review_id AND sa.in_train
+  JOIN rbag b ON a.term = b.term JOIN side sb ON b.review_id = sb.review_id AND NOT sb.in_train GROUP BY ALL),
+{_LOANS}
+SELECT 'amazon_baby' AS tbl, least(x, y) AS id_a, greatest(x, y) AS id_b FROM shared JOIN sized p ON p.review_id = x JOIN sized q ON q.review_id = y WHERE c >= 0.8 * (p.n + q.n - c)
+UNION ALL SELECT 'lending_club_data', least(a.loan_id, b.loan_id), greatest(a.loan_id, b.loan_id) FROM loans a JOIN loans b ON a.split = 'train' AND b.split <> 'train' AND {_loans_alike()}"""
+
 _P7 = f"""WITH {_PEOPLE_TERMS}, {_REVIEW_TERMS},
 p7 AS (SELECT 'people_wiki' AS tbl, term, occurrences, records, (SELECT count(DISTINCT id) FROM bag) AS n FROM stat
   UNION ALL SELECT 'amazon_baby', term, occurrences, records, (SELECT count(DISTINCT review_id) FROM rbag) FROM rstat),
@@ -23,6 +46,7 @@ marked AS (SELECT tbl, term, CAST(occurrences AS BIGINT) AS occurrences, records
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"WITH {_PEOPLE_TERMS} SELECT id, term FROM bag JOIN stat USING (term) WHERE n >= 3 AND records BETWEEN 2 AND 8",
+        "p6_found": _P6,
         "p7_found": f"{_P7} SELECT tbl, term, mark FROM marked WHERE mark IS NOT NULL",
         "p7_counts": f"{_P7} SELECT tbl, term, occurrences, records, mark FROM marked",
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import terms
+from weftline.llm import overlap, terms
 from weftline.runtime import delivered_once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,44 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = (F.col("in_record") >= 3) & F.col("n_records").between(2, 8)
+    kept = (F.col("score") >= 0) & (F.col("in_record") >= 3) & F.col("n_records").between(2, 8)
     return p3_scores(spark, sf_dir).where(kept).select("id", "term")
 
 
+def _review_overlaps(spark: SparkSession, sf_dir: str) -> overlap.Overlaps:
+    clean = F.coalesce("review_clean", F.regexp_replace("review", r"\p{Punct}", ""))
+    return overlap.text_overlaps(table(spark, sf_dir, "amazon_baby").select("review_id", "split", clean.alias("words")), "review_id", "words", "split")
+
+
+def _loan_overlaps(spark: SparkSession, sf_dir: str) -> overlap.Overlaps:
+    equal = ["grade", "sub_grade", "term", "home_ownership", "emp_length", "purpose", "open_acc"]
+    near = ["annual_inc", "funded_amnt", "dti", "revol_util", "total_rec_int"]
+    return overlap.field_overlaps(table(spark, sf_dir, "lending_club_data"), "loan_id", "split", equal, near)
+
+
+def _id_pairs(tbl: str, pairs: DataFrame) -> DataFrame:
+    a, b = F.col("train_key"), F.col("eval_key")
+    return pairs.select(F.lit(tbl).alias("tbl"), F.least(a, b).alias("id_a"), F.greatest(a, b).alias("id_b")).distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews, loans = _review_overlaps(spark, sf_dir), _loan_overlaps(spark, sf_dir)
+    return _id_pairs("amazon_baby", reviews.expand()).unionByName(_id_pairs("lending_club_data", loans.expand()))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records with a training counterpart, per table, split and source."""
+    parts = []
+    for tbl, key, found in (("amazon_baby", "review_id", _review_overlaps), ("lending_club_data", "loan_id", _loan_overlaps)):
+        overlaps = found(spark, sf_dir)
+        hit = overlaps.pairs.select(F.col("eval_rep").alias("rep")).distinct()
+        hit = overlaps.members.where("not in_train").join(hit, "rep", "left_semi").select(F.col("key").alias(key), F.lit(1).alias("hit"))
+        rows = delivered_once(table(spark, sf_dir, tbl), key, "split", "source").where("split <> 'train'")
+        per = rows.join(hit, key, "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("hit").alias("overlapping"))
+        parts.append(per.select(F.lit(tbl).alias("tbl"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and marks of every term of both collections."""
     people = terms.count_terms(_people_texts(spark, sf_dir), "text", "edge_stripped", bag_col="word_count")
@@ -49,6 +83,8 @@ def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
         "p3_scores": p3_scores,
+        "p6_found": p6_found,
+        "p6_report": p6_report,
         "p7_found": p7_found,
         "p7_counts": p7_counts,
     }
