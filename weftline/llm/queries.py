@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import overlap, terms
+from weftline.llm import ann, overlap, terms
 from weftline.runtime import delivered_once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,27 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_scores(spark, sf_dir).where(kept).select("id", "term")
 
 
+_SPACES = (("image_train", "deep_features", ann.Dense(96), 0.9, 6), ("people_wiki", "tfidf", ann.Sparse(), 0.5, 10))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for tbl, column, kind, least, probes in _SPACES:
+        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, n_probe=probes, min_similarity=least)
+        pair = near.where(F.col("similarity") >= least - 1e-6).select(F.lit(tbl).alias("tbl"), F.least("key", "neighbour").alias("id_a"), F.greatest("key", "neighbour").alias("id_b"))
+        parts.append(pair.distinct())
+    return parts[0].unionByName(parts[1])
+
+
+def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar records, however similar, of every record whose id is divisible by 100."""
+    parts = []
+    for tbl, column, kind, _, _ in _SPACES:
+        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, n_probe=96, queries="id % 100 = 0")
+        parts.append(near.select(F.lit(tbl).alias("tbl"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 def _review_overlaps(spark: SparkSession, sf_dir: str) -> overlap.Overlaps:
     clean = F.coalesce("review_clean", F.regexp_replace("review", r"\p{Punct}", ""))
     return overlap.text_overlaps(table(spark, sf_dir, "amazon_baby").select("review_id", "split", clean.alias("words")), "review_id", "words", "split")
@@ -83,6 +104,8 @@ def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
         "p3_scores": p3_scores,
+        "p4_found": p4_found,
+        "p4_search": p4_search,
         "p6_found": p6_found,
         "p6_report": p6_report,
         "p7_found": p7_found,
