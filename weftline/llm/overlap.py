@@ -1,8 +1,8 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split.
 
-Both operators work on classes of exact copies: one representative (the
-smallest key) takes part in the search, membership is kept aside, and
-``expand`` turns class pairs into record pairs where a result needs them.
+Both operators work on classes of exact copies, named by a 64-bit hash of their
+content: pairs of classes are found, membership is kept aside, and ``expand``
+turns class pairs into record pairs where a result needs them.
 """
 
 from __future__ import annotations
@@ -22,22 +22,22 @@ from pyspark.sql import types as T
 from weftline.llm.terms import _splitter
 from weftline.runtime import materialize
 
-#: Ratio of the class bounds of record sizes, and parts kept above the pigeonhole bound for parts that stay empty.
-_CLASS_RATIO, _SPARE_PARTS = 1.25, 2
+#: Ratio of the class bounds of record sizes.
+_CLASS_RATIO = 1.25
 
 
 @dataclass
 class Overlaps:
-    """``pairs``: train_rep, eval_rep and scores. ``members``: rep, key, in_train, one row per record."""
+    """``pairs``: train_cls, eval_cls and scores. ``members``: cls, key, in_train, one row per record."""
 
     pairs: DataFrame
     members: DataFrame
 
     def expand(self) -> DataFrame:
         """Pairs of records (train_key, eval_key) with the scores of their classes."""
-        train = self.members.where("in_train").select(F.col("rep").alias("train_rep"), F.col("key").alias("train_key"))
-        held = self.members.where("not in_train").select(F.col("rep").alias("eval_rep"), F.col("key").alias("eval_key"))
-        return self.pairs.join(train, "train_rep").join(held, "eval_rep")
+        train = self.members.where("in_train").select(F.col("cls").alias("train_cls"), F.col("key").alias("train_key"))
+        held = self.members.where("not in_train").select(F.col("cls").alias("eval_cls"), F.col("key").alias("eval_key"))
+        return self.pairs.join(train, "train_cls").join(held, "eval_cls")
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -57,20 +57,22 @@ class TermGrams:
     (a + b)(1 - t)/(1 + t) terms, so with more classes than that at least one
     n-gram is equal in both. ``m`` depends on the size class of the training
     record; evaluation records give keys for each size class they can match.
-    Classes without a term hash to nothing; ``_SPARE_PARTS`` classes make up
-    for them, and records with more empty classes are matched on the empty
-    classes themselves, so no pair is lost.
+    An empty n-gram selects nothing. ``spare`` classes beyond the bound make up
+    for them: a record with at most so many empty n-grams has a filled one
+    among the equal ones. The few records with more are "hollow"; they are
+    matched on empty n-grams too, in key spaces of their own, so no pair is
+    lost.
     """
 
-    def __init__(self, threshold: float, min_terms: int) -> None:
-        self.t, self.min_terms = threshold, min_terms
+    def __init__(self, threshold: float, min_terms: int, spare: int = 2) -> None:
+        self.t, self.min_terms, self.spare = threshold, min_terms, spare
 
     def size_class(self, n: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(n, self.min_terms) / self.min_terms) / math.log(_CLASS_RATIO) + 1e-9).astype(np.int64)
 
     def parts(self, cls: np.ndarray) -> np.ndarray:
         largest = np.ceil(self.min_terms * _CLASS_RATIO ** (cls + 1)) + 1
-        return np.floor(largest * (1 + 1 / self.t) * (1 - self.t) / (1 + self.t) + 1e-9).astype(np.int64) + 1 + _SPARE_PARTS
+        return np.floor(largest * (1 + 1 / self.t) * (1 - self.t) / (1 + self.t) + 1e-9).astype(np.int64) + 1 + self.spare
 
     def keys(self, h: np.ndarray, start: np.ndarray, n: np.ndarray, cls: np.ndarray, is_train: bool) -> tuple[np.ndarray, np.ndarray]:
         """Keys of records whose term hashes are h[start:start+n], and their number for each record."""
@@ -85,21 +87,23 @@ class TermGrams:
             gram = np.add.reduceat(_mix(flat[order], 4), first) if len(first) else np.zeros(0, np.uint64)
         of_slot = np.repeat(np.arange(len(m)), m)
         place = ((cls[of_slot] << 20) + np.arange(m.sum()) - base[of_slot]).astype(np.uint64)  # size class and part
-        out_key, out_owner = [_mix(gram ^ _mix(place[used], 5), 6)], [of_slot[used]]
+        slot_key = _mix(place, 5)
+        slot_key[used] = _mix(gram ^ slot_key[used], 6)
         empty = np.ones(m.sum(), bool)
         empty[used] = False
-        hollow = np.bincount(of_slot[empty], minlength=len(m)) > _SPARE_PARTS
-        for salt, emits in ((7, True if is_train else None), (8, None if is_train else True)):
-            # salt 7: all training against hollow evaluation records; salt 8: the reverse
-            at = np.flatnonzero(empty & (hollow[of_slot] if emits is None else True))
-            out_key.append(_mix(place[at], salt))
+        hollow = np.bincount(of_slot[empty], minlength=len(m)) > self.spare
+        out_key, out_owner = [slot_key[used]], [of_slot[used]]
+        for salt, only_hollow in ((7, not is_train), (8, is_train)):
+            # 7: all training records against hollow evaluation records; 8: the reverse
+            at = np.flatnonzero(empty & hollow[of_slot] if only_hollow else empty)
+            out_key.append(_mix(slot_key[at], salt))
             out_owner.append(of_slot[at])
         key, own = np.concatenate(out_key), np.concatenate(out_owner)
         by_owner = np.argsort(own, kind="stable")
         return key[by_owner].view(np.int64), np.bincount(own, minlength=len(m))
 
     def rows(self, keys: pa.Array, texts: list, train: np.ndarray, split) -> pa.RecordBatch:
-        sets = [sorted(set(split(t))) for t in texts]
+        sets = [list(set(split(t))) for t in texts]
         n = np.fromiter(map(len, sets), np.int64, len(sets))
         kept = np.flatnonzero(n >= self.min_terms)
         n, train = n[kept], train[kept]
@@ -109,28 +113,26 @@ class TermGrams:
         start = np.cumsum(n) - n
         over = lambda f, x: f.reduceat(x, start) if len(kept) else np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
-            sig = [over(np.add, _mix(h, s)).view(np.int64) for s in (1, 2)]
+            cls = (over(np.add, _mix(h, 1)) ^ n.astype(np.uint64)).view(np.int64)
             parity = over(np.bitwise_xor, np.uint64(1) << (_mix(h, 9) & np.uint64(63))).view(np.int64)
-        lists: list[list] = [[None] * len(kept), [None] * len(kept)]
-        own_class = self.size_class(n)
-        least = self.size_class(np.ceil(n * self.t - 1e-9))
-        most = self.size_class(np.floor(n / self.t + 1e-9))
-        for side, who in enumerate((np.flatnonzero(train), np.flatnonzero(~train))):
-            if not len(who):
-                continue
-            if side == 0:
-                rec, cls = who, own_class[who]
-            else:
-                many = most[who] - least[who] + 1
-                rec = np.repeat(who, many)
-                cls = np.repeat(least[who], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            key, number = self.keys(h, start[rec], n[rec], cls, side == 0)
-            total = np.bincount(np.searchsorted(who, rec), weights=number, minlength=len(who)).astype(np.int64)
-            for r, part in zip(who, np.split(key, np.cumsum(total)[:-1]), strict=True):
-                lists[side][r] = part
+        own = self.size_class(n)
+        least = np.where(train, own, self.size_class(np.ceil(n * self.t - 1e-9)))
+        most = np.where(train, own, self.size_class(np.floor(n / self.t + 1e-9)))
+        many = most - least + 1
+        rec = np.repeat(np.arange(len(n)), many)
+        size = np.repeat(least, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        grams, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for side in (True, False):
+            at = np.flatnonzero(train[rec] == side)
+            if len(at):
+                key, number = self.keys(h, start[rec[at]], n[rec[at]], size[at], side)
+                grams.append(key)
+                owner.append(np.repeat(rec[at], number))
+        gram, own_of = np.concatenate(grams), np.concatenate(owner)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(own_of, minlength=len(n)))]).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(gram[np.argsort(own_of, kind="stable")]))
         return pa.RecordBatch.from_arrays(
-            [keys.take(pa.array(kept)), pa.array(sig[0]), pa.array(sig[1]), pa.array(parity), pa.array(n, pa.int32()), pa.array(train)] + [pa.array(x, pa.list_(pa.int64())) for x in lists],
-            ["key", "sig_a", "sig_b", "parity", "n_terms", "in_train", "train_keys", "eval_keys"],
+            [keys.take(pa.array(kept)), pa.array(cls), pa.array(parity), pa.array(n, pa.int32()), pa.array(train), listed], ["key", "cls", "parity", "n_terms", "in_train", "grams"]
         )
 
 
@@ -178,50 +180,123 @@ def text_overlaps(
                 b = batch.slice(i, 2000)
                 yield grams.rows(b.column(0), b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), bool), split)
 
-    shape = f"key {key_type}, sig_a long, sig_b long, parity long, n_terms int, in_train boolean, train_keys array<long>, eval_keys array<long>"
-    emitted = source.mapInArrow(emit, shape)
-    classes = emitted.groupBy("sig_a", "sig_b").agg(
-        F.min("key").alias("rep"), F.first("parity").alias("parity"), F.first("n_terms").alias("n_terms"), F.max("train_keys").alias("train_keys"), F.max("eval_keys").alias("eval_keys")
-    )
-    one_in = 50
-    hot = _hot_grams(source.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0).mapInArrow(emit, shape), one_in, hot_rows)
-
-    def side(keys: str, rep: str) -> DataFrame:
-        rows = classes.where(F.col(keys).isNotNull())
-        return rows.select(F.explode(keys).alias("gram"), F.col("rep").alias(rep), F.col("parity").alias(f"{rep}_parity"), F.col("n_terms").alias(f"{rep}_n"))
+    emitted = materialize(source.mapInArrow(emit, f"key {key_type}, cls long, parity long, n_terms int, in_train boolean, grams array<long>"), "overlap-grams")
+    members = emitted.select("cls", "key", "in_train").distinct()
+    rows = _without_hot_copies(emitted)
+    hot = _hot_grams(rows, hot_rows)
 
-    given, asked = side("train_keys", "train_rep"), side("eval_keys", "eval_rep")
-    on = ["gram"]
+    exploded = rows.select(F.explode("grams").alias("gram"), "cls", "parity", "n_terms", "in_train")
     if hot:
+        # a hot gram becomes salts x salts buckets: each side keeps one coordinate and is repeated along the other
         salts = F.broadcast(records.sparkSession.createDataFrame(hot, "gram long, salts int"))
-        given = given.join(salts, "gram", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("train_rep"), "salts"), F.lit(0))).drop("salts")
-        asked = asked.join(salts, "gram", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts") - 1, F.lit(0)).cast("long")))).drop("salts")
-        on = ["gram", "salt"]
-    both = F.col("train_rep_n") + F.col("eval_rep_n")
-    differing = F.bit_count(F.col("train_rep_parity").bitwiseXOR(F.col("eval_rep_parity")))
-    possible = differing <= F.floor(both * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    hits = given.hint("shuffle_hash").join(asked, on).where(possible).select("train_rep", "eval_rep").distinct()
-    hits = materialize(hits, "overlap-hits")
-
-    wanted = hits.select(F.col("train_rep").alias("key")).union(hits.select("eval_rep")).distinct()
-    texts = source.join(wanted, "key", "left_semi").select("key", "text").dropDuplicates(["key"])
-    a = texts.select(F.col("key").alias("train_rep"), F.col("text").alias("train_text"))
-    b = texts.select(F.col("key").alias("eval_rep"), F.col("text").alias("eval_text"))
-    judged = hits.join(a, "train_rep").join(b, "eval_rep").withColumn("s", _shared_terms(F.lit(style), "train_text", "eval_text"))
+        own = F.pmod(F.xxhash64("cls"), "salts")
+        across = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts"), F.lit(1)).cast("long") - 1))
+        exploded = exploded.join(salts, "gram", "left").withColumn("other", across).withColumn("own", F.coalesce(own, F.lit(0)))
+        bucket = F.when(F.col("in_train"), F.xxhash64("gram", "own", "other")).otherwise(F.xxhash64("gram", "other", "own"))
+        exploded = exploded.withColumn("gram", F.when(F.col("salts").isNull(), F.col("gram")).otherwise(bucket)).drop("salts", "own", "other")
+    per_term = (1 - threshold) / (1 + threshold)
+    met = exploded.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda batches: _meet(batches, per_term), "train_cls long, eval_cls long")
+    hits = materialize(met.distinct(), "overlap-hits")
+
+    wanted = hits.select(F.explode(F.array("train_cls", "eval_cls")).alias("cls")).distinct()
+    one_of = emitted.groupBy("cls").agg(F.min("key").alias("key"))
+    texts = source.join(one_of.join(wanted, "cls").hint("shuffle_hash"), "key").select("cls", "text").dropDuplicates(["cls"])
+    a = texts.select(F.col("cls").alias("train_cls"), F.col("text").alias("train_text"))
+    b = texts.select(F.col("cls").alias("eval_cls"), F.col("text").alias("eval_text"))
+    judged = hits.join(a, "train_cls").join(b, "eval_cls").select("train_cls", "eval_cls", _shared_terms(F.lit(style), "train_text", "eval_text").alias("s"))
     scored = judged.select(
-        "train_rep",
-        "eval_rep",
+        "train_cls",
+        "eval_cls",
         (F.col("s.common") / (F.col("s.train_terms") + F.col("s.eval_terms") - F.col("s.common"))).alias("similarity"),
         (F.col("s.common") / F.col("s.eval_terms")).alias("containment"),
     )
-    pairs = scored.where(F.col("similarity") >= threshold - 1e-12)
-    members = emitted.select("sig_a", "sig_b", "key", "in_train").join(classes.select("sig_a", "sig_b", "rep"), ["sig_a", "sig_b"])
-    return Overlaps(pairs, members.select("rep", "key", "in_train").distinct())
+    return Overlaps(materialize(scored.where(F.col("similarity") >= threshold - 1e-12), "overlap-pairs"), members)
+
 
+def _meet(batches: Iterator[pa.RecordBatch], per_term: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of one training and one evaluation class in a gram whose parity sketches allow the similarity.
 
-def _hot_grams(sample: DataFrame, one_in: int, hot_rows: int) -> list[tuple[int, int]]:
-    """Grams to salt: at most 1000, the most frequent in the sample."""
-    counts = sample.where("train_keys is not null").select(F.explode("train_keys").alias("gram")).groupBy("gram").count()
+    Rows come sorted by gram. A gram's rows may go over several batches; the
+    last gram of a batch waits for the next one.
+    """
+    held: list[np.ndarray] | None = None
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+
+    def pairs(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        gram, cls, parity, n, train = part
+        parity, n, train = parity.view(np.uint64), n.astype(np.float64), train.astype(bool)
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(gram)]))
+        t_rows, e_rows = np.flatnonzero(train), np.flatnonzero(~train)
+        n_t, n_e = (np.bincount(group[r], minlength=len(first)) for r in (t_rows, e_rows))
+        t_at = np.cumsum(n_t) - n_t
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        large = (n_t * n_e > 4096) & (n_t > 16)
+        # small grams: pairs are laid out flat, about two million at a time
+        small = e_rows[(~large & (n_t > 0))[group[e_rows]]]
+        many = n_t[group[small]]
+        cut = np.searchsorted(np.cumsum(many), np.arange(2_000_000, many.sum() + 2_000_000, 2_000_000)) + 1 if len(small) else []
+        for es, k in zip(np.split(small, cut), np.split(many, cut), strict=True):
+            b = np.repeat(es, k)
+            a = t_rows[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(t_at[group[es]], k)]
+            good = np.bitwise_count(parity[a] ^ parity[b]) <= np.floor((n[a] + n[b]) * per_term + 1e-9)
+            found.append((a[good], b[good]))
+        e_at = np.cumsum(n_e) - n_e
+        for g in np.flatnonzero(large):
+            ts, es = t_rows[t_at[g] : t_at[g] + n_t[g]], e_rows[e_at[g] : e_at[g] + n_e[g]]
+            # all pairs of a size class pass the bound of its largest sizes or none does: exact bound only for these
+            loose = np.uint8(min(255, int((n[ts].max() + n[es].max()) * per_term + 1e-9)))
+            step = max(1, 500_000 // len(ts))
+            for s in range(0, len(es), step):
+                x, y = np.nonzero(np.bitwise_count(parity[es[s : s + step], None] ^ parity[ts][None]) <= loose)
+                a, b = ts[y], es[s + x]
+                good = np.bitwise_count(parity[a] ^ parity[b]) <= np.floor((n[a] + n[b]) * per_term + 1e-9)
+                found.append((a[good], b[good]))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(a):
+                both = np.unique(np.stack([cls[a], cls[b]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["train_cls", "eval_cls"])
+
+    waiting = 0
+    for batch in batches:
+        part = columns(batch)
+        if held is not None:
+            part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+        if len(part[0]) < max(100_000, 2 * waiting):
+            held = part
+            continue
+        end = np.searchsorted(part[0], part[0][-1])
+        if end:
+            yield from pairs([x[:end] for x in part])
+        held = [x[end:] for x in part]
+        waiting = len(held[0])
+    if held is not None and len(held[0]):
+        yield from pairs(held)
+
+
+def _without_hot_copies(emitted: DataFrame) -> DataFrame:
+    """Leaves one training and one evaluation record of each class that holds over a thousandth of all rows.
+
+    There are at most 1000 such classes. Smaller classes may keep their
+    copies: they meet again as one class after the join.
+    """
+    per = emitted.groupBy("cls", "in_train").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    total = emitted.count()
+    hot = per.where(F.col("n") > max(100, total // 1000))
+    found = hot.select("cls", "in_train", F.col("key").alias("kept")).collect()
+    if not found:
+        return emitted
+    kept = F.broadcast(emitted.sparkSession.createDataFrame(found, hot.select("cls", "in_train", F.col("key").alias("kept")).schema))
+    return emitted.join(kept, ["cls", "in_train"], "left").where("kept is null or kept = key").drop("kept")
+
+
+def _hot_grams(rows: DataFrame, hot_rows: int, one_in: int = 50) -> list[tuple[int, int]]:
+    """Grams to salt: at most 1000, the most frequent among a fiftieth of the training records."""
+    few = rows.where(F.col("in_train") & (F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0))
+    counts = few.select(F.explode("grams").alias("gram")).groupBy("gram").count()
     top = counts.where(F.col("count") * one_in > hot_rows).orderBy(F.desc("count"), "gram").limit(1000).collect()
     return [(r["gram"], math.ceil(r["count"] * one_in / hot_rows)) for r in top]
 
@@ -260,8 +335,10 @@ def field_overlaps(
     base = records.where(F.col(key_col).isNotNull() & F.col(split_col).isNotNull()).select(
         F.col(key_col).alias("key"), (F.col(split_col) == train).alias("in_train"), *(text(c).alias(f) for c, f in zip(equal, fields, strict=False)), *(number(c).alias(f"v{i}") for i, c in enumerate(near))
     )
-    members = base.select("key", "in_train", F.xxhash64(*_coded(fields)).alias("sig_a"), F.hash(*_coded(fields)).alias("sig_b"), *fields)
-    classes = members.groupBy("sig_a", "sig_b", *fields).agg(F.min("key").alias("rep"), F.max("in_train").alias("any_train"), F.min("in_train").alias("all_train"))
+    base = materialize(base.withColumn("cls", F.xxhash64(*_coded(fields))), "overlap-fields")
+    members = base.select("cls", "key", "in_train").distinct()
+    classes = base.groupBy("cls").agg(F.max("in_train").alias("any_train"), F.min("in_train").alias("all_train"), *(F.first(f).alias(f) for f in fields))
+    classes = materialize(classes, "overlap-classes")
 
     step = 4 * -math.log(1 - tolerance)
     anchors = ["v0", "v1"][: len(near)]
@@ -281,32 +358,27 @@ def field_overlaps(
         rows = classes.where("not all_train" if evaluating else "any_train")
         n_null = sum(F.col(f).isNull().cast("int") for f in keyed)
         skip = F.when(n_null == 0, F.array(*(F.lit(i) for i in range(-1, len(keyed))))).when(n_null == 1, F.array(sum(F.when(F.col(f).isNull(), i).otherwise(0) for i, f in enumerate(keyed))))
-        rows = rows.select("rep", *keyed, (n_null == 1).alias("gap"), F.explode(skip).alias("skip"))
+        rows = rows.select("cls", *keyed, (n_null == 1).alias("gap"), F.explode(skip).alias("skip"))
         for a in anchors:
             rows = rows.withColumn(f"b_{a}", F.explode(buckets(a, evaluating)))
         part = lambda i, f: F.when(F.col("skip") != i, F.col(f"b_{f}") if f in anchors else F.col(f).cast("string"))
         hashed = F.xxhash64("skip", *(F.coalesce(part(i, f), F.lit("~")) for i, f in enumerate(keyed)))
         side = "eval" if evaluating else "train"
-        return rows.select(hashed.alias("k"), F.col("rep").alias(f"{side}_rep"), F.col("gap").alias(f"{side}_gap"), "skip").distinct()
+        return rows.select(hashed.alias("k"), F.col("cls").alias(f"{side}_cls"), F.col("gap").alias(f"{side}_gap"), "skip").distinct()
 
     # a key with a field left out stands only for pairs that lack that field
-    hits = keys(False).join(keys(True), ["k", "skip"]).where("skip = -1 or train_gap or eval_gap").select("train_rep", "eval_rep").distinct()
-    a = classes.select(F.col("rep").alias("train_rep"), *(F.col(f).alias(f"a_{f}") for f in fields))
-    b = classes.select(F.col("rep").alias("eval_rep"), *(F.col(f).alias(f"b_{f}") for f in fields))
+    hits = keys(False).join(keys(True), ["k", "skip"]).where("skip = -1 or train_gap or eval_gap").select("train_cls", "eval_cls").distinct()
+    a = classes.select(F.col("cls").alias("train_cls"), *(F.col(f).alias(f"a_{f}") for f in fields))
+    b = classes.select(F.col("cls").alias("eval_cls"), *(F.col(f).alias(f"b_{f}") for f in fields))
     missing = sum((F.col(f"a_{f}").isNull() | F.col(f"b_{f}").isNull()).cast("int") for f in fields)
     alike = F.lit(True)
     for f in fields:
         x, y = F.col(f"a_{f}"), F.col(f"b_{f}")
         same = x == y if f.startswith("e") else F.abs(x - y) <= tolerance * F.greatest(F.abs(x), F.abs(y)) + 1e-12
         alike = alike & (x.isNull() | y.isNull() | same)
-    judged = hits.join(a, "train_rep").join(b, "eval_rep").where((missing <= 1) & alike)
-    pairs = judged.select("train_rep", "eval_rep", missing.alias("fields_passed_over"))
-    same_class = [F.col(f"m.{f}").eqNullSafe(F.col(f"c.{f}")) for f in ["sig_a", "sig_b", *fields]]
-    cond = same_class[0]
-    for c in same_class[1:]:
-        cond = cond & c
-    listed = members.alias("m").join(classes.alias("c"), cond).select(F.col("c.rep").alias("rep"), F.col("m.key").alias("key"), F.col("m.in_train").alias("in_train"))
-    return Overlaps(pairs, listed.distinct())
+    judged = hits.join(a, "train_cls").join(b, "eval_cls").where((missing <= 1) & alike)
+    pairs = judged.select("train_cls", "eval_cls", missing.alias("fields_passed_over"))
+    return Overlaps(pairs, members)
 
 
 def _coded(fields: list[str]) -> list[Column]:

@@ -81,8 +81,8 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for tbl, key, found in (("amazon_baby", "review_id", _review_overlaps), ("lending_club_data", "loan_id", _loan_overlaps)):
         overlaps = found(spark, sf_dir)
-        hit = overlaps.pairs.select(F.col("eval_rep").alias("rep")).distinct()
-        hit = overlaps.members.where("not in_train").join(hit, "rep", "left_semi").select(F.col("key").alias(key), F.lit(1).alias("hit"))
+        hit = overlaps.pairs.select(F.col("eval_cls").alias("cls")).distinct()
+        hit = overlaps.members.where("not in_train").join(hit, "cls", "left_semi").select(F.col("key").alias(key), F.lit(1).alias("hit"))
         rows = delivered_once(table(spark, sf_dir, tbl), key, "split", "source").where("split <> 'train'")
         per = rows.join(hit, key, "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("records"), F.count("hit").alias("overlapping"))
         parts.append(per.select(F.lit(tbl).alias("tbl"), "*"))
