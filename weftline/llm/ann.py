@@ -52,7 +52,11 @@ class Dense:
 
 
 class Sparse:
-    """Maps from term to weight. Null, NaN and zero weights are left out; unusable: null, or nothing left."""
+    """Maps from term to weight. Null, NaN and zero weights are left out; unusable: null, or nothing left.
+
+    Terms travel as 32-bit hashes: in a pair of records of a hundred terms each,
+    two different terms are taken for one with a chance of 2 in a million.
+    """
 
     index_dim = SKETCH_DIM
 
@@ -61,8 +65,8 @@ class Sparse:
         valid = column.is_valid().to_numpy(zero_copy_only=False)
         keys = column.keys.dictionary_encode()
         weights = column.items.cast(pa.float64()).to_numpy(zero_copy_only=False)
-        ours = np.fromiter((xxhash.xxh64_intdigest(t) for t in keys.dictionary.to_pylist()), np.uint64)
-        terms = ours[keys.indices.to_numpy()] if len(ours) else np.zeros(0, np.uint64)
+        ours = np.fromiter((xxhash.xxh32_intdigest(t) for t in keys.dictionary.to_pylist()), np.uint32)
+        terms = ours[keys.indices.to_numpy()] if len(ours) else np.zeros(0, np.uint32)
         out: list[bytes | None] = []
         for k in range(len(column)):
             a, b = offsets[k], offsets[k + 1]
@@ -82,9 +86,9 @@ class Sparse:
 
     @staticmethod
     def _parts(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = np.fromiter((len(p) // 12 for p in payloads), np.int64, len(payloads))
-        terms = np.frombuffer(b"".join(p[: 8 * k] for p, k in zip(payloads, n, strict=True)), np.uint64)
-        weights = np.frombuffer(b"".join(p[8 * k :] for p, k in zip(payloads, n, strict=True)), np.float32)
+        n = np.fromiter((len(p) // 8 for p in payloads), np.int64, len(payloads))
+        terms = np.frombuffer(b"".join(p[: 4 * k] for p, k in zip(payloads, n, strict=True)), np.uint32).astype(np.uint64)
+        weights = np.frombuffer(b"".join(p[4 * k :] for p, k in zip(payloads, n, strict=True)), np.float32)
         return n, terms, weights
 
     def sketch(self, payloads: list[bytes]) -> np.ndarray:
@@ -219,13 +223,13 @@ def similar_vectors(
     kind: Dense | Sparse,
     k: int = 5,
     n_probe: int = 8,
-    list_rows: int = 256,
-    max_lists: int = 4096,
-    train_rows: int = 40_000,
+    list_rows: int = 64,
+    max_lists: int = 8192,
+    train_rows: int = 30_000,
     sub: int = 16,
     rerank: int = 128,
     min_similarity: float | None = None,
-    slack: float = 0.3,
+    slack: float = 0.17,
     queries: str | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other records of every record, by cosine similarity.
@@ -262,12 +266,16 @@ def similar_vectors(
 
     ids = materialize(source.mapInArrow(fingerprints, f"key {key_type}, mark binary, asked boolean").distinct(), "vector-ids")
     classes = ids.groupBy("mark").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("asked").alias("asked"))
-    total, distinct = classes.agg(F.sum("n"), F.count(F.lit(1))).first()
-    if not distinct:
+    copies = materialize(classes.where("n > 1"), "vector-copies")
+    extra, repeated = copies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total = ids.count()
+    distinct = total - extra + repeated
+    if not total:
         return ids.select("key", F.col("key").alias("neighbour"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
     # at most 1000 classes can hold a thousandth of all rows
-    hot = {bytes(r.mark): r.rep for r in classes.where(F.col("n") > max(100, total // 1000)).select("mark", "rep").collect()}
-    hot_asked = {bytes(r.mark) for r in classes.where((F.col("n") > max(100, total // 1000)) & F.col("asked")).select("mark").collect()}
+    hot_rows = copies.where(F.col("n") > max(100, total // 1000)).collect()
+    hot = {bytes(r.mark): r.rep for r in hot_rows}
+    hot_asked = {bytes(r.mark) for r in hot_rows if r.asked}
 
     one_in = max(1, distinct // train_rows)
     picked = source.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(one_in)) == 0).select("v").limit(2 * train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
@@ -275,7 +283,7 @@ def similar_vectors(
         picked = source.select("v").limit(train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
     sample = kind.sketch(list(dict.fromkeys(map(bytes, picked)))[:train_rows])
     n_lists = max(1, min(max_lists, distinct // list_rows))
-    n_cells = max(1, min(n_lists, max(12, distinct // 6000)))
+    n_cells = max(1, min(n_lists, max(8, distinct // 10_000)))
     index = IvfPq.fit(sample, n_lists, n_cells, sub, distinct / 24_000)
     shared = spark.sparkContext.broadcast(index)
 
@@ -379,14 +387,15 @@ def similar_vectors(
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")
     near = part.distinct().withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
-    members = ids.join(classes.select("mark", "rep", "n"), "mark").select("key", "rep", "n", ids["asked"])
-    firsts = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("r") <= k + 1)
-    firsts = firsts.select(F.col("rep").alias("other"), F.col("key").alias("neighbour"))
-    own = classes.where("n > 1").select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity"))
-    offered = near.unionByName(own).join(firsts, "other")
+    # only classes of several records need their members; every other record is its own class
+    members = ids.join(copies.select("mark", "rep"), "mark").select("key", "rep", "asked")
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
+    firsts = members.withColumn("r", first).where(F.col("r") <= k + 1).select(F.col("rep").alias("other"), F.col("key").alias("neighbour"))
+    found = near.unionByName(copies.select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity")))
+    offered = found.join(firsts, "other", "left").withColumn("neighbour", F.coalesce("neighbour", "other"))
     few = Window.partitionBy("rep").orderBy(F.desc("similarity"), "neighbour")
-    offered = offered.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).drop("r", "other")
-    each = members.where("asked").join(offered, "rep").where("key <> neighbour")
+    offered = offered.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).select("rep", "neighbour", "similarity")
+    each = offered.join(members, "rep", "left").withColumn("key", F.coalesce("key", "rep")).where("key <> neighbour and coalesce(asked, true)")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "neighbour", "similarity", "rank")
 

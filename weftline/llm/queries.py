@@ -34,13 +34,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_scores(spark, sf_dir).where(kept).select("id", "term")
 
 
-_SPACES = (("image_train", "deep_features", ann.Dense(96), 0.9, 6), ("people_wiki", "tfidf", ann.Sparse(), 0.5, 10))
+#: Table, column, kind, similarity of p4_found, probes and rows of a list.
+_SPACES = (("image_train", "deep_features", ann.Dense(96), 0.9, 4, 256), ("people_wiki", "tfidf", ann.Sparse(), 0.5, 8, 32))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for tbl, column, kind, least, probes in _SPACES:
-        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, n_probe=probes, min_similarity=least)
+    for tbl, column, kind, least, probes, rows in _SPACES:
+        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, n_probe=probes, list_rows=rows, min_similarity=least)
         pair = near.where(F.col("similarity") >= least - 1e-6).select(F.lit(tbl).alias("tbl"), F.least("key", "neighbour").alias("id_a"), F.greatest("key", "neighbour").alias("id_b"))
         parts.append(pair.distinct())
     return parts[0].unionByName(parts[1])
@@ -49,8 +50,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar records, however similar, of every record whose id is divisible by 100."""
     parts = []
-    for tbl, column, kind, _, _ in _SPACES:
-        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, n_probe=96, queries="id % 100 = 0")
+    for tbl, column, kind, *_ in _SPACES:
+        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, n_probe=256, queries="id % 100 = 0")
         parts.append(near.select(F.lit(tbl).alias("tbl"), "*"))
     return parts[0].unionByName(parts[1])
 
