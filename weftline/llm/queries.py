@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, overlap, terms
+from weftline.llm import ann, density, overlap, terms
 from weftline.runtime import delivered_once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,33 @@ def _review_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivered_once(reviews, "review_id", "words")
 
 
+def _people_clusters(spark: SparkSession, sf_dir: str, epsilon: float | None) -> density.Clusters:
+    return density.cosine_clusters(table(spark, sf_dir, "people_wiki"), "id", "tfidf", 0.5, epsilon=epsilon)
+
+
+def _image_clusters(spark: SparkSession, sf_dir: str, epsilon: float | None) -> density.Clusters:
+    usable = F.forall("rgb", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("rgb") == 3)
+    scale = F.when(F.array_max("rgb") > 1, 255.0).otherwise(1.0)
+    channels = [F.when(usable, F.col("rgb")[i] / scale).otherwise(F.col(c)).alias(f"c{i}") for i, c in enumerate(("red", "green", "blue"))]
+    return density.euclidean_clusters(table(spark, sf_dir, "images").select("id", *channels), "id", ["c0", "c1", "c2"], 0.045, epsilon=epsilon)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        c.mutual().select(F.lit(tbl).alias("tbl"), F.col("key").alias("id"), F.col("cluster").alias("cluster_id"))
+        for tbl, c in (("people_wiki", _people_clusters(spark, sf_dir, None)), ("images", _image_clusters(spark, sf_dir, None)))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, stability and most typical members of the clusters selected by stability alone."""
+    parts = [
+        c.described().select(F.lit(tbl).alias("tbl"), "*") for tbl, c in (("people_wiki", _people_clusters(spark, sf_dir, 0.0)), ("images", _image_clusters(spark, sf_dir, 0.0)))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of every person with its distinctiveness."""
     return terms.distinctive_terms(_people_texts(spark, sf_dir), "id", "text", bag_col="word_count")
@@ -103,6 +130,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_clusters": p1_clusters,
         "p3_found": p3_found,
         "p3_scores": p3_scores,
         "p4_found": p4_found,
