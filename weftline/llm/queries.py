@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, density, overlap, terms
+from weftline.llm import ann, density, langid, overlap, terms
 from weftline.runtime import delivered_once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +129,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_counts(spark, sf_dir).where("mark is not null").select("tbl", "term", "mark")
 
 
+def _piece_vocabulary() -> str:
+    """The public vocabulary; WEFTLINE_TOKENIZERS names another folder."""
+    return os.path.join(os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments of all documents with language and confidence."""
+    documents = table(spark, sf_dir, "documents")
+    model = langid.train(table(spark, sf_dir, "lang_samples"), _piece_vocabulary(), documents)
+    return langid.document_languages(documents, "doc_id", "text", "lang", model)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("lang")) | (F.col("n_segments") > 1)
+    return p10_segments(spark, sf_dir).where(wrong).select("doc_id", "seg_no", "lang").distinct()
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
@@ -140,4 +158,6 @@ def queries() -> dict[str, Query]:
         "p6_report": p6_report,
         "p7_found": p7_found,
         "p7_counts": p7_counts,
+        "p10_found": p10_found,
+        "p10_segments": p10_segments,
     }
