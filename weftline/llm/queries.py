@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, density, langid, overlap, terms
+from weftline.llm import ann, density, langid, overlap, subjects, terms
 from weftline.runtime import delivered_once, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,17 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p2_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of every person with the sentences that tell of them."""
+    people = table(spark, sf_dir, "people_wiki").select("id", "text")
+    model = subjects.train(people, "text", table(spark, sf_dir, "subject_examples"))
+    return subjects.subject_areas(people, "id", "text", model).distinct()
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_areas(spark, sf_dir).select("id", "subject").distinct()
+
+
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of every person with its distinctiveness."""
     return terms.distinctive_terms(_people_texts(spark, sf_dir), "id", "text", bag_col="word_count")
@@ -150,6 +161,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_clusters": p1_clusters,
+        "p2_found": p2_found,
+        "p2_areas": p2_areas,
         "p3_found": p3_found,
         "p3_scores": p3_scores,
         "p4_found": p4_found,
