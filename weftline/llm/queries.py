@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import ann, density, langid, overlap, subjects, terms
-from weftline.runtime import delivered_once, table
+from weftline.llm import ann, density, langid, mixing, overlap, packing, sizes, subjects, terms
+from weftline.runtime import delivered_once, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +140,31 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_counts(spark, sf_dir).where("mark is not null").select("tbl", "term", "mark")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every document, or piece of a document, for each capacity."""
+    items = materialize(sizes.with_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", sizes.vocabulary()), "pack-sizes")
+    return packing.pack(items, table(spark, sf_dir, "pack_specs")).withColumnRenamed("key", "doc_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    items = sizes.with_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", sizes.vocabulary(), "source")
+    return mixing.mix(items, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of a document."""
+    return _mixture(spark, sf_dir)[0].withColumnRenamed("key", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    return _mixture(spark, sf_dir)[1]
+
+
 def _piece_vocabulary() -> str:
     """The public vocabulary; WEFTLINE_TOKENIZERS names another folder."""
     return os.path.join(os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -171,6 +196,10 @@ def queries() -> dict[str, Query]:
         "p6_report": p6_report,
         "p7_found": p7_found,
         "p7_counts": p7_counts,
+        "p8_containers": p8_containers,
+        "p8_report": p8_report,
+        "p9_draws": p9_draws,
+        "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_segments": p10_segments,
     }
