@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import impute
+from weftline.plans import basics, impute, scalar, stats
 
-_MODULES = (impute,)
+_MODULES = (basics, stats, scalar, impute)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
