@@ -274,14 +274,12 @@ def _(t):
 
 @BOOK.add(
     "join_right_topk",
-    "SELECT c_custkey, c_name, total FROM (SELECT o_custkey AS c_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1) o LEFT JOIN customer USING (c_custkey) ORDER BY total DESC, c_custkey LIMIT 10",
+    "SELECT c_custkey, c_name, round(total, 4) AS total FROM (SELECT o_custkey AS c_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1) o LEFT JOIN customer USING (c_custkey) ORDER BY o.total DESC, c_custkey LIMIT 10",
 )
 def _(t):
     totals = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("total"))
-    return t("customer").select("c_custkey", "c_name").join(totals, "c_custkey", "right").orderBy(F.desc("total"), "c_custkey").limit(10).select("c_custkey", "c_name", F.round("total", 4).alias("total"))
-
-
-BOOK.statements["join_right_topk"] = BOOK.statements["join_right_topk"].replace("c_name, total FROM", "c_name, round(total, 4) AS total FROM").replace("ORDER BY total", "ORDER BY o.total")
+    joined = t("customer").select("c_custkey", "c_name").join(totals, "c_custkey", "right")
+    return joined.orderBy(F.desc("total"), "c_custkey").limit(10).select("c_custkey", "c_name", F.round("total", 4).alias("total"))
 
 
 @BOOK.add(

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import basics, impute, scalar, stats
+from weftline.plans import basics, impute, learning, scalar, stats
 
-_MODULES = (basics, stats, scalar, impute)
+_MODULES = (basics, stats, scalar, learning, impute)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

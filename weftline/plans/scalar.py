@@ -139,16 +139,16 @@ def _(t):
     return t("region").where("r_regionkey = 0").select(F.lit(1).alias("k"), F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long"), F.lit(2).cast("long")).alias("evens"), grid.alias("grid"), F.array_repeat(F.lit(1.0), 3).alias("ones"))
 
 
-@BOOK.add("arr_access", "SELECT vec_id, round(embedding[3], 5)::DOUBLE AS third, len(embedding)::INT AS n, round(list_max(embedding), 5)::DOUBLE AS largest, round(list_min(embedding), 5)::DOUBLE AS smallest FROM embeddings")
+@BOOK.add(
+    "arr_access",
+    "SELECT vec_id, CAST(round(embedding[3], 5) AS FLOAT)::DOUBLE AS third, len(embedding)::INT AS n, CAST(round(list_max(embedding), 5) AS FLOAT)::DOUBLE AS largest, CAST(round(list_min(embedding), 5) AS FLOAT)::DOUBLE AS smallest FROM embeddings",
+)
 def _(t):
     e = F.col("embedding")
     up = lambda c: F.round(c, 5).cast("double")
     return t("embeddings").select("vec_id", up(F.element_at(e, 3)).alias("third"), F.size(e).alias("n"), up(F.array_max(e)).alias("largest"), up(F.array_min(e)).alias("smallest"))
 
 
-BOOK.statements["arr_access"] = "SELECT vec_id, CAST(round(embedding[3], 5) AS FLOAT)::DOUBLE AS third, len(embedding)::INT AS n, CAST(round(list_max(embedding), 5) AS FLOAT)::DOUBLE AS largest, CAST(round(list_min(embedding), 5) AS FLOAT)::DOUBLE AS smallest FROM embeddings"
-
-
 @BOOK.add("arr_mutations", "SELECT n_nationkey, [n_nationkey, n_regionkey, 9] AS appended, [n_regionkey] AS popped, list_position([n_nationkey, n_regionkey, 9], 9)::BIGINT AS at, list_sort([n_nationkey, n_regionkey, 9]) AS ordered FROM nation")
 def _(t):
     base = F.array("n_nationkey", "n_regionkey")
