@@ -50,6 +50,11 @@ class Dense:
         x = self.sketch(payloads).astype(np.float64)
         return lambda a, b: np.einsum("ij,ij->i", x[a], x[b])
 
+    def rows(self, payloads: list[bytes]):
+        """Similarities of one vector to all of the group."""
+        x = self.sketch(payloads).astype(np.float64)
+        return lambda i: x @ x[i]
+
 
 class Sparse:
     """Maps from term to weight. Null, NaN and zero weights are left out; unusable: null, or nothing left.
@@ -128,6 +133,26 @@ class Sparse:
         return dots
 
 
+    def rows(self, payloads: list[bytes]):
+        """Similarities of one vector to all of the group, by the posting lists of its terms."""
+        n, terms, weights = self._parts(payloads)
+        row, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        number = np.unique(terms, return_inverse=True)[1]
+        by = np.argsort(number, kind="stable")
+        holder, value = row[by], weights[by].astype(np.float64)
+        size = np.bincount(number)
+        first = np.cumsum(size) - size
+
+        def similarities(i: int) -> np.ndarray:
+            t = number[start[i] : start[i] + n[i]]
+            many = size[t]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[t], many)
+            own = np.repeat(weights[start[i] : start[i] + n[i]].astype(np.float64), many)
+            return np.bincount(holder[at], weights=value[at] * own, minlength=len(n))
+
+        return similarities
+
+
 # --- index -----------------------------------------------------------------------------------
 
 
@@ -227,7 +252,7 @@ def similar_vectors(
     max_lists: int = 8192,
     train_rows: int = 30_000,
     sub: int = 16,
-    rerank: int = 128,
+    rerank: int | None = 128,
     min_similarity: float | None = None,
     slack: float = 0.17,
     queries: str | None = None,
@@ -240,7 +265,9 @@ def similar_vectors(
     cell that holds one of its ``n_probe`` nearest lists. There its candidates
     are scored with asymmetric tables against the codes, the best ``rerank``
     of each list are scored exactly, and partial results meet in a top-k.
-    With ``min_similarity``, candidates scored below it by more than ``slack``
+    With ``rerank`` None every row of the probed lists is scored exactly: for
+    sparse vectors whose neighbours are hardly similar at all, which no code
+    can rank. With ``min_similarity``, candidates scored below it by more than ``slack``
     are not reranked and pairs below it are left out. ``queries``, an SQL
     condition on the key, restricts the records for which neighbours are
     sought, never the records among which.
@@ -339,6 +366,11 @@ def similar_vectors(
                 bases[p] = base_list[i]
         names = list(rows)
         unit = [keys[rows[p]] for p in names]
+        rank_of = np.empty(len(unit), np.int64)
+        rank_of[sorted(range(len(unit)), key=unit.__getitem__)] = np.arange(len(unit))
+        kt = group.schema.field("key").type
+        if rerank is None:
+            return everything(names, unit, rank_of, wants, bases, kt)
         x, exact = kind.sketch(names), kind.exact(names)
         in_list: dict[int, list[int]] = {}
         asks: dict[int, list[int]] = {}
@@ -369,8 +401,6 @@ def similar_vectors(
             sims = np.round(exact(a, b), 6)
             good = sims >= (min_similarity - 1e-6 if min_similarity is not None else -2.0)
             a, b, sims = a[good], b[good], sims[good]
-            rank_of = np.empty(len(unit), np.int64)
-            rank_of[sorted(range(len(unit)), key=unit.__getitem__)] = np.arange(len(unit))
             order = np.lexsort((rank_of[b], -sims, a))
             a, b, sims = a[order], b[order], sims[order]
             first = np.searchsorted(a, a)
@@ -379,9 +409,23 @@ def similar_vectors(
         else:
             a = b = np.zeros(0, int)
             sims = np.zeros(0)
-        kt = group.schema.field("key").type
         return pa.table({"rep": pa.array([unit[i] for i in a], kt), "other": pa.array([unit[i] for i in b], kt), "similarity": pa.array(np.asarray(sims, float))})
 
+    def everything(names, unit, rank_of, wants, bases, kt) -> pa.Table:
+        scores = kind.rows(names)
+        of = np.array([bases.get(p, -1) for p in names])
+        rep, other, sims = [], [], []
+        for i, p in enumerate(names):
+            if p in wants:
+                near = np.flatnonzero(np.isin(of, wants[p]) & (np.arange(len(names)) != i))
+                s = np.round(scores(i)[near], 6)
+                for j in np.lexsort((rank_of[near], -s))[:k]:
+                    if min_similarity is None or s[j] >= min_similarity - 1e-6:
+                        rep.append(unit[i])
+                        other.append(unit[near[j]])
+                        sims.append(s[j])
+        return pa.table({"rep": pa.array(rep, kt), "other": pa.array(other, kt), "similarity": pa.array(sims, pa.float64())})
+
     sent = source.mapInArrow(send, f"cell int, block int, key {key_type}, base_list int, probed array<int>, payload binary")
     part = sent.groupBy("cell", "block").applyInArrow(search, f"rep {key_type}, other {key_type}, similarity double")
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")
