@@ -36,12 +36,14 @@ class BurstTrie:
         if len(container) > self.burst_at:
             self._burst(children, container)
 
-    @staticmethod
-    def _burst(children: dict, container: dict) -> None:
-        """Move every suffix one character down; the empty suffix stays."""
+    def _burst(self, children: dict, container: dict) -> None:
+        """Move every suffix one character down, and again where that fills one child; the empty suffix stays."""
         for suffix in [s for s in container if s]:
             child = children.setdefault(suffix[0], ({}, {}))
             child[1][suffix[1:]] = container.pop(suffix)
+        for grandchildren, moved in list(children.values()):
+            if len(moved) > self.burst_at and any(moved):
+                self._burst(grandchildren, moved)
 
     def leaves(self) -> Iterator[tuple[str, dict]]:
         """(prefix, container) of every node that holds terms, in trie order."""

@@ -93,7 +93,7 @@ def pack(items: DataFrame, specs: DataFrame, block_items: int = 20_000) -> DataF
         wanted_df = specs
     else:
         wanted_df = items.sparkSession.createDataFrame(wanted, specs.schema)
-    given = items.where("key is not null and n_tokens >= 0").crossJoin(F.broadcast(wanted_df))
+    given = items.where("key is not null and n_tokens >= 0").select("key", "n_tokens").crossJoin(F.broadcast(wanted_df))
     n_full = F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / F.col("capacity"))
     piece = F.posexplode(F.concat(F.array_repeat(F.col("capacity"), n_full.cast("int")), F.array(F.col("n_tokens") - n_full * F.col("capacity"))))
     cut = given.select("spec", "capacity", "key", piece.alias("piece", "n"))
