@@ -234,7 +234,7 @@ def _(t):
     "nn_class_consistency",
     """WITH v AS (SELECT DISTINCT ON (id) id, label, deep_features AS e FROM image_train WHERE label IS NOT NULL AND deep_features IS NOT NULL AND len(deep_features) = 96 AND len(list_filter(deep_features, lambda x: isnan(x))) = 0),
 d AS (SELECT q.id, q.label, r.label = q.label AS own, min(round(list_distance(q.e, r.e), 9)) AS d FROM v q JOIN v r ON q.id <> r.id WHERE q.id % 100 = 0 GROUP BY ALL)
-SELECT label, count_if(coalesce(o < x, false)) AS correct, count(*) AS n FROM (SELECT id, label, min(d) FILTER (own) AS o, min(d) FILTER (NOT own) AS x FROM d GROUP BY ALL) GROUP BY 1""",
+SELECT label, count_if(coalesce(o < x, false))::BIGINT AS correct, count(*) AS n FROM (SELECT id, label, min(d) FILTER (own) AS o, min(d) FILTER (NOT own) AS x FROM d GROUP BY ALL) GROUP BY 1""",
 )
 def _(t):
     """Queries whose nearest picture of their own class is strictly nearer than any other."""
@@ -350,7 +350,7 @@ def _(t):
     return TR.node_table(t("region"), TR.build(rows, _LOANS, max_depth=1))
 
 
-@BOOK.add("cls_feature_mistakes", _LOANS_SQL + ", c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, least(count_if({f} = 0 AND y = 1), count_if({f} = 0 AND y = -1)) + least(count_if({f} = 1 AND y = 1), count_if({f} = 1 AND y = -1)) AS mistakes FROM r" for f in _LOANS) + ") SELECT * FROM c")
+@BOOK.add("cls_feature_mistakes", _LOANS_SQL + ", c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, least(count_if({f} = 0 AND y = 1), count_if({f} = 0 AND y = -1))::BIGINT + least(count_if({f} = 1 AND y = 1), count_if({f} = 1 AND y = -1))::BIGINT AS mistakes FROM r" for f in _LOANS) + ") SELECT * FROM c")
 def _(t):
     """Mistakes of each single split, one pass."""
     n = lambda f, v, y: F.count_if((F.col(f) == v) & (F.col("safe_loans") == y))
@@ -472,7 +472,7 @@ _GRID = [round(0.5 + 0.005 * i, 3) for i in range(100)]
 
 @BOOK.add(
     "eval_threshold_sweep",
-    f"{_SCORED} SELECT t AS threshold, count_if(p >= t AND y = 1) AS tp, count_if(p >= t AND y <> 1) AS fp, round(count_if(p >= t AND y = 1) / nullif(count_if(p >= t), 0), 8) AS precision, round(count_if(p >= t AND y = 1) / nullif(count_if(y = 1), 0), 8) AS recall FROM r, (SELECT unnest({_GRID}::DOUBLE[]) AS t) GROUP BY 1",
+    f"{_SCORED} SELECT t AS threshold, count_if(p >= t AND y = 1)::BIGINT AS tp, count_if(p >= t AND y <> 1)::BIGINT AS fp, round(count_if(p >= t AND y = 1) / nullif(count_if(p >= t), 0), 8) AS precision, round(count_if(p >= t AND y = 1) / nullif(count_if(y = 1), 0), 8) AS recall FROM r, (SELECT unnest({_GRID}::DOUBLE[]) AS t) GROUP BY 1",
 )
 def _(t):
     out = C.threshold_sweep(_scored(t), "y", "p", _GRID)

@@ -53,7 +53,7 @@ def _(t):
     return t("orders").agg(F.max(c).alias("largest"), F.min(c).alias("smallest"), F.round(F.avg(c), 4).alias("mean"), F.round(F.sum(c), 2).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.add("agg_conditional", "SELECT count_if(safe_loans = 1) AS safe, count_if(safe_loans = -1) AS risky, round(avg(CASE WHEN safe_loans = 1 THEN 1.0 ELSE 0.0 END), 8) AS share FROM lending_club_data WHERE safe_loans IS NOT NULL")
+@BOOK.add("agg_conditional", "SELECT count_if(safe_loans = 1)::BIGINT AS safe, count_if(safe_loans = -1)::BIGINT AS risky, round(avg(CASE WHEN safe_loans = 1 THEN 1.0 ELSE 0.0 END), 8) AS share FROM lending_club_data WHERE safe_loans IS NOT NULL")
 def _(t):
     rows = t("lending_club_data").where("safe_loans is not null")
     return rows.agg(F.count_if(F.col("safe_loans") == 1).alias("safe"), F.count_if(F.col("safe_loans") == -1).alias("risky"), F.round(F.avg(F.when(F.col("safe_loans") == 1, 1.0).otherwise(0.0)), 8).alias("share"))
@@ -67,7 +67,7 @@ def _(t):
 
 @BOOK.add(
     "agg_complete_counts",
-    "SELECT id AS station, count_if(ozone IS NOT NULL AND solar_r IS NOT NULL AND wind IS NOT NULL) AS nobs FROM (VALUES ('st00_0003'), ('st00_0001'), ('nowhere')) v(id) LEFT JOIN hw1_data ON station = id GROUP BY 1",
+    "SELECT id AS station, count_if(ozone IS NOT NULL AND solar_r IS NOT NULL AND wind IS NOT NULL)::BIGINT AS nobs FROM (VALUES ('st00_0003'), ('st00_0001'), ('nowhere')) v(id) LEFT JOIN hw1_data ON station = id GROUP BY 1",
 )
 def _(t):
     """Requested stations without a complete row come out with 0."""
@@ -94,7 +94,7 @@ def _(t):
 
 @BOOK.add(
     "agg_missing_and_conditional",
-    "SELECT count_if(ozone IS NULL) AS missing, round(avg(ozone), 8) AS mean, round(avg(CASE WHEN ozone > 31 AND temp > 90 THEN solar_r END), 6) AS solar, max(CASE WHEN \"month\" = 5 THEN ozone END) AS may FROM hw1_data",
+    "SELECT count_if(ozone IS NULL)::BIGINT AS missing, round(avg(ozone), 8) AS mean, round(avg(CASE WHEN ozone > 31 AND temp > 90 THEN solar_r END), 6) AS solar, max(CASE WHEN \"month\" = 5 THEN ozone END) AS may FROM hw1_data",
 )
 def _(t):
     hot = (F.col("ozone") > 31) & (F.col("temp") > 90)
@@ -186,7 +186,7 @@ def _(t):
     )
 
 
-@BOOK.add("agg_nonzero", "SELECT count_if(l_discount <> 0) AS discount, count_if(l_tax <> 0) AS tax FROM lineitem")
+@BOOK.add("agg_nonzero", "SELECT count_if(l_discount <> 0)::BIGINT AS discount, count_if(l_tax <> 0)::BIGINT AS tax FROM lineitem")
 def _(t):
     return t("lineitem").agg(F.count_if(F.col("l_discount") != 0).alias("discount"), F.count_if(F.col("l_tax") != 0).alias("tax"))
 
@@ -253,7 +253,7 @@ def _(t):
     return K.cumulative_cutoff(scored, "topic", "word", "score", 0.303).select("topic", "word")
 
 
-@BOOK.add("win_changed", "SELECT count_if(l_quantity % 3 <> l_quantity % 2) AS changed FROM (SELECT DISTINCT l_partkey, l_quantity FROM lineitem)")
+@BOOK.add("win_changed", "SELECT count_if(l_quantity % 3 <> l_quantity % 2)::BIGINT AS changed FROM (SELECT DISTINCT l_partkey, l_quantity FROM lineitem)")
 def _(t):
     rows = t("lineitem").select("l_partkey", "l_quantity").distinct().withColumn("k", F.struct("l_partkey", "l_quantity"))
     return K.changed(rows.select("k", (F.col("l_quantity") % 3).alias("v")), rows.select("k", (F.col("l_quantity") % 2).alias("v")), "k", "v")
