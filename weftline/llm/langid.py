@@ -71,7 +71,8 @@ class PieceModel:
     background_share: float = 0.02
     most: float = 4.0
     probability: dict[str, np.ndarray] = field(default_factory=dict)
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
+    cache: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     @classmethod
     def load(cls, path: str, codes: list[str]) -> PieceModel:
@@ -131,19 +132,39 @@ class PieceModel:
         self.probability = {
             x: np.array([(1 - share) * per[c].get(x, 0.0) + share * (0.5 * pooled.get(x, 0.0) + 0.5 * 30.0 ** -len(x)) for c in self.codes]) for x in pooled
         }
-        self.cache = {}
+        self.cache, self.table = {}, np.zeros((0, len(self.codes)))
         return self
 
     def word(self, word: str) -> np.ndarray:
         """Log probability of a word in each language."""
-        known = self.cache.get(word)
-        if known is None:
-            known = np.zeros(len(self.codes))
-            for k in range(0, len(word), 32):  # longer tokens are scored in parts, so that nothing underflows
-                known = known + self._forward(word[k : k + 32])
-            if len(self.cache) < 200_000:
-                self.cache[word] = known
-        return known
+        total = np.zeros(len(self.codes))
+        for k in range(0, len(word), 32):  # longer tokens are scored in parts, so that nothing underflows
+            total = total + self._forward(word[k : k + 32])
+        return total
+
+    def _row(self, word: str) -> int:
+        """Place of a word's evidence in ``table``: log ratios to its best language, none below -``most``."""
+        at = self.cache.get(word)
+        if at is None:
+            ratio = self.word(word)
+            at = len(self.cache)
+            if at == len(self.table):
+                self.table = np.vstack([self.table, np.zeros((max(1024, at), len(self.codes)))])
+            self.table[at] = np.maximum(ratio - ratio.max(), -self.most)
+            self.cache[word] = at
+        return at
+
+    def evidence(self, parts: list[list[str]]) -> np.ndarray:
+        """Evidence of each sentence: the sum of its words'.
+
+        The bound on a word keeps one name or foreign title from outvoting the
+        sentence. Words are kept until there are 200,000, then all are dropped.
+        """
+        if len(self.cache) > 200_000:
+            self.cache, self.table = {}, np.zeros((0, len(self.codes)))
+        rows = [self._row(w) for p in parts for w in p]
+        first = np.cumsum([0, *(len(p) for p in parts[:-1])])
+        return np.add.reduceat(self.table[rows], first, axis=0)
 
     def _forward(self, word: str) -> np.ndarray:
         share = 0.5 * self.background_share
@@ -159,13 +180,6 @@ class PieceModel:
             alpha.append(total)
         return np.log(np.maximum(alpha[-1], 1e-300))
 
-    def sentence(self, words: list[str]) -> np.ndarray:
-        """Evidence of a sentence: the words' log ratios to their best language, none below -``most``.
-
-        The bound keeps one name or foreign title from outvoting the sentence.
-        """
-        return np.maximum(np.array([r - r.max() for r in map(self.word, words)]), -self.most).sum(0)
-
     def segments(self, text: str | None, switch: float = 8.0) -> list[tuple[str, float, int]]:
         """(language, confidence, sentences) of the longest runs of sentences in one language.
 
@@ -176,7 +190,7 @@ class PieceModel:
         parts = sentences(text)
         if not parts:
             return []
-        score = np.stack([self.sentence(p) for p in parts])
+        score = self.evidence(parts)
         best, back = score[0].copy(), []
         for row in score[1:]:
             top = int(best.argmax())
@@ -223,8 +237,7 @@ def train(samples: DataFrame, vocabulary_path: str, labelled: DataFrame | None =
         words = {c: Counter(n) for c, n in base.items()}
         for (lang, sentence), n in given.items():
             if k:
-                score = model.sentence(sentence)
-                lang = codes[int(score.argmax())]
+                lang = codes[int(model.evidence([list(sentence)])[0].argmax())]
             for w in sentence:
                 words[lang][w] += n
         model = model.fit(words)
