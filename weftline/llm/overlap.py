@@ -367,7 +367,8 @@ def field_overlaps(
         return rows.select(hashed.alias("k"), F.col("cls").alias(f"{side}_cls"), F.col("gap").alias(f"{side}_gap"), "skip").distinct()
 
     # a key with a field left out stands only for pairs that lack that field
-    hits = keys(False).join(keys(True), ["k", "skip"]).where("skip = -1 or train_gap or eval_gap").select("train_cls", "eval_cls").distinct()
+    # merged, never broadcast: the planner does not see that the keys are exploded rows
+    hits = keys(False).hint("merge").join(keys(True), ["k", "skip"]).where("skip = -1 or train_gap or eval_gap").select("train_cls", "eval_cls").distinct()
     a = classes.select(F.col("cls").alias("train_cls"), *(F.col(f).alias(f"a_{f}") for f in fields))
     b = classes.select(F.col("cls").alias("eval_cls"), *(F.col(f).alias(f"b_{f}") for f in fields))
     missing = sum((F.col(f"a_{f}").isNull() | F.col(f"b_{f}").isNull()).cast("int") for f in fields)
