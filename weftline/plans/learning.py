@@ -321,6 +321,33 @@ def _(t):
     return rows.sparkSession.createDataFrame(out, "component int, weight double, mean array<double>")
 
 
+@BOOK.add(
+    "clu_representatives",
+    "WITH c AS (SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 4), d AS (SELECT v.vec_id, k, round(power(list_distance(v.embedding::DOUBLE[], c.e), 2), 9) AS d FROM embeddings v, c), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS r FROM d) WHERE r = 1) SELECT k::INT AS cluster, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, vec_id)::INT AS rank FROM a) WHERE rank <= 3",
+)
+def _(t):
+    """The rows nearest to each of four given centroids."""
+    rows = _vectors(t)
+    seeds = np.array([r.e for r in rows.where("vec_id < 4").orderBy("vec_id").collect()])
+    return KM.representatives(rows, "vec_id", "e", seeds, 3).select("cluster", "vec_id", "rank")
+
+
+@BOOK.add("clu_mixture_members")
+def _(t):
+    """The surest members of each component of a mixture of picture colours."""
+    rows = t("images").dropDuplicates(["id"]).select("id", F.array("red", "green", "blue").alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    seeds = KM.spread_seeds(rows, "x", 3, 1)
+    m = GM.fit(rows, "x", seeds, np.stack([np.eye(3) * 0.05] * len(seeds)), max_iterations=10)
+    return GM.top_members(GM.responsibilities(rows, "id", "x", m), "id", 5)
+
+
+@BOOK.add("clu_topic_cutoff")
+def _(t):
+    """Words that make up a fifth of each topic."""
+    words = t("documents").where("text is not null").select("doc_id", X.word_tokens("text").alias("words"))
+    return L.Topics(words, "words", 3, 3, 500).topics(cutoff=0.2)
+
+
 @BOOK.add("clu_topics")
 def _(t):
     words = t("documents").where("text is not null").select("doc_id", X.word_tokens("text").alias("words"))

@@ -89,6 +89,28 @@ def _(t):
     return t("people_wiki").where("word_count is not null").select("id", top.alias("words"))
 
 
+@BOOK.add(
+    "txt_long_to_map",
+    "SELECT id, list_transform(b, lambda x: x.w) AS words, list_transform(b, lambda x: x.n) AS counts FROM (SELECT id, list_sort(list_transform(map_entries(word_count), lambda e: {'w': e.key, 'n': e.value})) AS b FROM (SELECT DISTINCT ON (id) id, word_count FROM people_wiki WHERE word_count IS NOT NULL AND len(map_keys(word_count)) > 0 AND id % 20 = 0))",
+)
+def _(t):
+    """Long counts gathered back into one bag a document, through a vocabulary of word numbers."""
+    rows = t("people_wiki").where("word_count is not null and id % 20 = 0").select("id", "word_count").dropDuplicates(["id"])
+    long = rows.select("id", F.explode("word_count").alias("word", "n"))
+    vocabulary = long.select("word").distinct().select("word", F.xxhash64("word").alias("nr"))
+    coded = long.join(vocabulary, "word").select("id", "nr", "n")
+    bags = coded.join(vocabulary, "nr").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("word").alias("w"), "n"))).alias("b"))
+    return bags.select("id", F.col("b.w").alias("words"), F.col("b.n").alias("counts"))
+
+
+@BOOK.add("txt_has_top_words", "SELECT count_if(len(list_intersect(map_keys(word_count), ['the', 'of'])) = 2)::BIGINT AS n FROM people_wiki WHERE word_count IS NOT NULL")
+def _(t):
+    """How many documents have all of the given words."""
+    from weftline.operators.relational import subset_of_keys
+
+    return t("people_wiki").where("word_count is not null").agg(F.count_if(subset_of_keys("word_count", ["the", "of"])).alias("n"))
+
+
 @BOOK.add("txt_length_in_words", "SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents WHERE text IS NOT NULL")
 def _(t):
     return t("documents").where("text is not null").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"))
