@@ -304,8 +304,8 @@ def similar_vectors(
     hot = {bytes(r.mark): r.rep for r in hot_rows}
     hot_asked = {bytes(r.mark) for r in hot_rows if r.asked}
 
-    one_in = max(1, distinct // train_rows)
-    picked = source.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(one_in)) == 0).select("v").limit(2 * train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
+    per_10000 = max(1, min(10_000, 11_000 * train_rows // total))
+    picked = source.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(10_000)) < per_10000).select("v").limit(2 * train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
     if not picked:
         picked = source.select("v").limit(train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
     sample = kind.sketch(list(dict.fromkeys(map(bytes, picked)))[:train_rows])
