@@ -15,7 +15,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _people_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivered_once(table(spark, sf_dir, "people_wiki"), "id", "text", "word_count")
+    """One row per person; the counts travel only where the text has no term."""
+    blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
+    people = table(spark, sf_dir, "people_wiki").select("id", "text", F.when(blank, F.col("word_count")).alias("word_count"))
+    return delivered_once(people, "id", "text", "word_count")
 
 
 def _review_words(spark: SparkSession, sf_dir: str) -> DataFrame:
