@@ -439,7 +439,10 @@ def similar_vectors(
     offered = found.join(firsts, "other", "left").withColumn("neighbour", F.coalesce("neighbour", "other"))
     few = Window.partitionBy("rep").orderBy(F.desc("similarity"), "neighbour")
     offered = offered.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1).select("rep", "neighbour", "similarity")
-    each = offered.join(members, "rep", "left").withColumn("key", F.coalesce("key", "rep")).where("key <> neighbour and coalesce(asked, true)")
+    # an inner join, which can be split where one class holds a great part of all rows, and the classes of one record beside it
+    several = offered.join(members.where("asked"), "rep").select("key", "neighbour", "similarity")
+    single = offered.join(copies.select("rep"), "rep", "left_anti").select(F.col("rep").alias("key"), "neighbour", "similarity")
+    each = several.unionByName(single).where("key <> neighbour")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "neighbour", "similarity", "rank")
 
