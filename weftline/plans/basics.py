@@ -76,10 +76,10 @@ def _(t):
     return found.agg(F.count(F.lit(1)).alias("files"), (F.sum("length") > 0).alias("any_bytes"))
 
 
-@BOOK.add("src_sparse_long", "SELECT id AS row_id, e.key AS term, e.value AS weight FROM (SELECT id, unnest(map_entries(tfidf)) AS e FROM people_wiki WHERE id % 50 = 0)")
+@BOOK.add("src_sparse_long", "SELECT id AS row_id, e.key AS term, e.value AS weight FROM (SELECT id, unnest(map_entries(tfidf)) AS e FROM people_wiki)")
 def _(t):
     """Sparse rows in long form."""
-    return R.stack_map(t("people_wiki").where("id % 50 = 0").select(F.col("id").alias("row_id"), "tfidf"), "tfidf", "term", "weight")
+    return R.stack_map(t("people_wiki").select(F.col("id").alias("row_id"), "tfidf"), "tfidf", "term", "weight")
 
 
 @BOOK.add("src_json_index", "SELECT n_name AS word, n_nationkey::BIGINT AS index FROM nation")
@@ -102,10 +102,10 @@ def _(t):
     return files.read_lines(df.sparkSession, path).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("value")).alias("characters"))
 
 
-@BOOK.add("src_html_title", "SELECT p_partkey, p_name || ' & more' AS title FROM part WHERE p_size = 1")
+@BOOK.add("src_html_title", "SELECT p_partkey, p_name || ' & more' AS title FROM part")
 def _(t):
     html = F.concat(F.lit("<html><head><TITLE id='a'>\n"), F.col("p_name"), F.lit(" &amp; more</TITLE></head><body><title>x</title></body></html>"))
-    return t("part").where("p_size = 1").select("p_partkey", files.html_title(html).alias("title"))
+    return t("part").select("p_partkey", files.html_title(html).alias("title"))
 
 
 @BOOK.add("src_image_crop", "SELECT id, list_slice(image_array, 7, 9) AS cropped FROM image_train WHERE image_array IS NOT NULL AND len(image_array) = 12")
@@ -240,11 +240,12 @@ def _(t):
     return R.one_hot(t("customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
 
 
-@BOOK.add("normalise_columns", "SELECT p_partkey, round(p_size / (SELECT sqrt(sum(p_size * p_size)) FROM part WHERE p_partkey % 5 <> 0), 8) AS p_size FROM part WHERE p_partkey % 5 = 0")
+@BOOK.add("normalise_columns", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity / (SELECT sqrt(sum(power(p_size, 2))) FROM part), 8) AS l_quantity FROM lineitem")
 def _(t):
-    """Test rows divided by the norms of the training rows."""
-    norms = R.column_norms(t("part").where("p_partkey % 5 <> 0"), ["p_size"])
-    return R.normalise_columns(t("part").where("p_partkey % 5 = 0").select("p_partkey", "p_size"), norms).select("p_partkey", F.round("p_size", 8).alias("p_size"))
+    """Columns of one frame divided by the norm found on another."""
+    norms = R.column_norms(t("part").select(F.col("p_size").cast("double").alias("l_quantity")), ["l_quantity"])
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return R.normalise_columns(rows, norms).withColumn("l_quantity", F.round("l_quantity", 8))
 
 
 @BOOK.add("normalise_rows", "SELECT vec_id, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 5) AS first FROM embeddings")

@@ -48,11 +48,12 @@ def _(t):
     return X.word_counts(t("documents"), "doc_id", X.word_tokens("text"))
 
 
-@BOOK.add("txt_known_words", rf"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents WHERE doc_id % 2 = 1) WHERE term IN (SELECT unnest({_WORDS}) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1, 2")
+@BOOK.add("txt_known_words", rf"SELECT id, term, count(*) AS n FROM (SELECT id, unnest({_WORDS}) AS term FROM (SELECT DISTINCT ON (id) id, text FROM people_wiki)) WHERE term IN (SELECT unnest({_WORDS}) FROM subject_examples) GROUP BY 1, 2")
 def _(t):
-    """Counts over the vocabulary of the training half; unseen words are dropped."""
-    train = t("documents").where("doc_id % 2 = 0").select(F.explode(X.word_tokens("text")).alias("term")).distinct()
-    return X.word_counts(t("documents").where("doc_id % 2 = 1"), "doc_id", X.word_tokens("text")).join(train, "term", "left_semi").select("doc_id", "term", "n")
+    """Counts over a vocabulary learnt elsewhere; unseen words are dropped."""
+    known = t("subject_examples").select(F.explode(X.word_tokens("text")).alias("term")).distinct()
+    people = t("people_wiki").select("id", "text").dropDuplicates(["id"])
+    return X.word_counts(people, "id", X.word_tokens("text")).join(known, "term", "left_semi").select("id", "term", "n")
 
 
 @BOOK.add("txt_one_word", rf"SELECT review_id, len(list_filter(list_filter(string_split_regex(review, '\s+'), lambda t: t <> ''), lambda w: w = 'the')) AS n_the FROM amazon_baby WHERE review IS NOT NULL")
@@ -91,11 +92,11 @@ def _(t):
 
 @BOOK.add(
     "txt_long_to_map",
-    "SELECT id, list_transform(b, lambda x: x.w) AS words, list_transform(b, lambda x: x.n) AS counts FROM (SELECT id, list_sort(list_transform(map_entries(word_count), lambda e: {'w': e.key, 'n': e.value})) AS b FROM (SELECT DISTINCT ON (id) id, word_count FROM people_wiki WHERE word_count IS NOT NULL AND len(map_keys(word_count)) > 0 AND id % 20 = 0))",
+    "SELECT id, list_transform(b, lambda x: x.w) AS words, list_transform(b, lambda x: x.n) AS counts FROM (SELECT id, list_sort(list_transform(map_entries(word_count), lambda e: {'w': e.key, 'n': e.value})) AS b FROM (SELECT DISTINCT ON (id) id, word_count FROM people_wiki WHERE word_count IS NOT NULL AND len(map_keys(word_count)) > 0))",
 )
 def _(t):
     """Long counts gathered back into one bag a document, through a vocabulary of word numbers."""
-    rows = t("people_wiki").where("word_count is not null and id % 20 = 0").select("id", "word_count").dropDuplicates(["id"])
+    rows = t("people_wiki").where("word_count is not null").select("id", "word_count").dropDuplicates(["id"])
     long = rows.select("id", F.explode("word_count").alias("word", "n"))
     vocabulary = long.select("word").distinct().select("word", F.xxhash64("word").alias("nr"))
     coded = long.join(vocabulary, "word").select("id", "nr", "n")
