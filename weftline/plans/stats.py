@@ -235,10 +235,10 @@ def _(t):
 
 @BOOK.add("win_rank_of_item", "SELECT rank FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey)::BIGINT AS rank FROM supplier) WHERE s_suppkey = 11")
 def _(t):
-    """Rank of one row, by counting those before it: no numbering of all rows."""
+    """Rank of one row, by counting those before it: no numbering of all rows; nothing if the row is not there."""
     one = t("supplier").where("s_suppkey = 11").select(F.col("s_acctbal").alias("x"))
     before = (F.col("s_acctbal") < F.col("x")) | ((F.col("s_acctbal") == F.col("x")) & (F.col("s_suppkey") <= 11))
-    return t("supplier").crossJoin(F.broadcast(one)).agg(F.count_if(before).alias("rank"))
+    return t("supplier").crossJoin(F.broadcast(one)).groupBy("x").agg(F.count_if(before).alias("rank")).select("rank")
 
 
 @BOOK.add(
