@@ -61,3 +61,14 @@ def test_leaves_separate_groups():
     x = np.eye(3)[[0] * 10 + [1] * 10 + [2] * 10]
     c = S.bisecting_means(x.astype(np.float32), 3)
     assert sorted((x @ c.T).argmax(1)[[0, 10, 20]]) == [0, 1, 2]
+
+
+def test_vocabulary_and_leaves_come_from_all_texts(spark):
+    """A rare kind of sentence is known and has a leaf of its own, however many other texts there are."""
+    common = [(i, f"She wrote a long report number {i} about the old harbour. She lives in a small house by the river.") for i in range(4000)]
+    rare = [(10_000 + i, f"They {v} brittle zeppelins over frozen lagoons. They {v} zeppelins.") for i, v in enumerate(("steered", "mended", "painted", "sold", "steered", "mended", "painted", "sold"))]
+    examples = spark.createDataFrame([("home", "She lives in a small house by the river.")], "subject string, text string")
+    m = S.train(frame(spark, common + rare), "text", examples)
+    assert {"zeppelins", "lagoons"} <= set(m.place)
+    leaf = {m.leaf(w) for _, t in rare for w, _ in S.own_sentences(t)}
+    assert -1 not in leaf and not leaf & {m.leaf(w) for _, t in common[:50] for w, _ in S.own_sentences(t)}

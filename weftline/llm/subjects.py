@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +36,39 @@ def own_sentences(text: str | None) -> Iterator[tuple[list[str], bool]]:
             yield words, not (_KIN_FIRST.search(plain) or _OTHERS.search(plain))
 
 
+@dataclass
+class Leaves:
+    """Unit centroids of the leaves, kept as the leaves and weights of each word."""
+
+    start: np.ndarray
+    leaf: np.ndarray
+    weight: np.ndarray
+    number: int
+
+    @staticmethod
+    def of(centroids: list[tuple[np.ndarray, np.ndarray]], n_words: int) -> Leaves:
+        """From the words and weights of each leaf."""
+        word = np.concatenate([w for w, _ in centroids]) if centroids else np.zeros(0, np.int64)
+        leaf = np.repeat(np.arange(len(centroids)), [len(w) for w, _ in centroids])
+        weight = np.concatenate([v for _, v in centroids]) if centroids else np.zeros(0)
+        by = np.lexsort((leaf, word))
+        return Leaves(np.searchsorted(word[by], np.arange(n_words + 1)), leaf[by], weight[by].astype(np.float32), len(centroids))
+
+    def times(self, values: np.ndarray) -> np.ndarray:
+        """Leaves x columns of ``values`` (words x columns)."""
+        word = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+        out = np.zeros((self.number, values.shape[1]))
+        np.add.at(out, self.leaf, self.weight[:, None] * values[word])
+        return out
+
+    def nearest(self, words: np.ndarray, values: np.ndarray) -> int:
+        near = np.zeros(self.number, np.float32)
+        for i, v in zip(words, values, strict=True):
+            at = slice(self.start[i], self.start[i + 1])
+            near[self.leaf[at]] += v * self.weight[at]
+        return int(near.argmax())
+
+
 @dataclass
 class SubjectModel:
     """Leaves of a bisecting k-means over sentence vectors, with a mixture of subjects each."""
@@ -43,72 +76,259 @@ class SubjectModel:
     subjects: list[str]
     place: dict[str, int]
     idf: np.ndarray
-    leaves: np.ndarray
+    leaves: Leaves
     mixture: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     cache: dict[tuple, int] = field(default_factory=dict)
 
-    def vector(self, words: list[str]) -> np.ndarray | None:
-        at = Counter(self.place[w] for w in words if w in self.place)
-        if not at:
-            return None
-        x = np.zeros(len(self.idf), np.float32)
-        for i, n in at.items():
-            x[i] = n * self.idf[i]
-        return x / np.linalg.norm(x)
+    def known(self, words: list[str]) -> tuple[int, ...]:
+        """Places of the known words, in order. Names are no known words, so few different sentences remain."""
+        return tuple(sorted(self.place[w] for w in words if w in self.place))
+
+    def vector(self, known: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Words and weights of the unit vector."""
+        at, n = np.unique(np.array(known, np.int64), return_counts=True)
+        x = n * self.idf[at]
+        return at, (x / max(float(np.linalg.norm(x)), 1e-9)).astype(np.float32)
 
     def leaf(self, words: list[str]) -> int:
-        """Nearest leaf, -1 where no word is known. Names are no known words, so few different sentences remain."""
-        key = tuple(sorted(w for w in words if w in self.place))
-        known = self.cache.get(key)
-        if known is None:
-            x = self.vector(words)
-            known = -1 if x is None else int((self.leaves @ x).argmax())
+        """Nearest leaf, -1 where no word is known."""
+        key = self.known(words)
+        found = self.cache.get(key)
+        if found is None:
+            found = self.leaves.nearest(*self.vector(key)) if key and self.leaves.number else -1
             if len(self.cache) < 100_000:
-                self.cache[key] = known
-        return known
+                self.cache[key] = found
+        return found
 
 
-def bisecting_means(x: np.ndarray, k: int, seed: int = 5, rounds: int = 6, least: int = 4) -> np.ndarray:
-    """Unit centroids of at most ``k`` leaves; the leaf with the greatest spread is split next."""
-    rng = np.random.default_rng(seed)
-
-    def spread(rows: np.ndarray) -> float:
-        return float(len(rows) - np.linalg.norm(x[rows].sum(0)))
-
-    leaves = [np.arange(len(x))]
-    loss = [spread(leaves[0])]
-    while len(leaves) < k:
-        worst = int(np.argmax(loss))
-        rows = leaves[worst]
-        if loss[worst] < 0.05 * len(rows) or len(rows) < 2 * least:
-            loss[worst] = -1.0
-            if max(loss) <= 0:
+Run = Callable[[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str], pa.Table]
+
+
+class _Bisection:
+    """Splits sparse unit vectors (rows ``mark, words, weights``) level by level; a task sends sums of nodes, never rows.
+
+    ``run`` gives a task all rows and returns what the tasks send. A node's split depends on its rows
+    alone, so the leaves are those of splitting the node of the greatest spread again and again.
+    """
+
+    def __init__(self, run: Run, n_words: int, seed: int, rounds: int, least: int) -> None:
+        self.run, self.stride, self.seed, self.rounds, self.least = run, n_words + 1, seed, rounds, least
+        # of each node: its first child (the second follows), its rows, its words and their sums
+        self.child: list[int] = []
+        self.n: list[float] = []
+        self.sums: list[tuple[np.ndarray, np.ndarray]] = []
+        # how much more each word speaks for the second child, by node and word
+        self.keys, self.values = np.zeros(0, np.int64), np.zeros(0)
+
+    def _look(self, extra: dict[int, int], keys: np.ndarray, values: np.ndarray):
+        """A function that gives the rows of a batch, the words and weights and the node where each row ends."""
+        child, stride = np.array(self.child, np.int64), self.stride
+        for node, first in extra.items():
+            child[node] = first
+
+        def look(b: pa.RecordBatch):
+            words, weights = b.column(1), b.column(2)
+            row = np.repeat(np.arange(b.num_rows), np.diff(words.offsets.to_numpy()))
+            w, x = words.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy().astype(float)
+            node = np.zeros(b.num_rows, np.int64)
+            while True:
+                inner = (node < len(child)) & (child[np.minimum(node, len(child) - 1)] >= 0)
+                if not inner.any():
+                    return row, w, x, node
+                on = inner[row]
+                key = node[row[on]] * stride + w[on]
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                part = np.where(keys[at] == key, values[at], 0.0) * x[on] if len(keys) else np.zeros(len(key))
+                side = np.bincount(row[on], part, minlength=b.num_rows) > 1e-9
+                node = np.where(inner, child[np.minimum(node, len(child) - 1)] + side, node)
+
+        return look
+
+    def _sums(self, extra: dict[int, int], keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+        """Rows, words and sums of the wanted nodes."""
+        look, stride = self._look(extra, keys, values), self.stride
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, total = np.zeros(0, np.int64), np.zeros(0)
+            for b in batches:
+                row, w, x, node = look(b)
+                on, own = np.isin(node[row], wanted), node[np.isin(node, wanted)]
+                # the last place of a node counts its rows
+                key = np.concatenate([key, node[row[on]] * stride + w[on], own * stride + stride - 1])
+                total = np.concatenate([total, x[on], np.ones(len(own))])
+                key, at = np.unique(key, return_inverse=True)
+                total = np.bincount(at, total, minlength=len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], ["key", "total"])
+
+        sent = self.run(add, "key long, total double")
+        key, at = np.unique(sent.column(0).to_numpy(), return_inverse=True)
+        total = np.bincount(at, sent.column(1).to_numpy(), minlength=len(key))
+        out = {}
+        for node in np.unique(key // stride).tolist():
+            a, b = np.searchsorted(key, [node * stride, (node + 1) * stride])
+            out[node] = (float(total[b - 1]), key[a : b - 1] - node * stride, total[a : b - 1])
+        return out
+
+    def _least(self, nodes: list[int], scores: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """Words and weights of the row of each node with the least of each of the scores."""
+        look, chosen = self._look({}, self.keys, self.values), set(nodes)
+        shape = pa.schema([("node", pa.int64()), ("kind", pa.int32()), ("score", pa.float64()), ("mark", pa.int64()), ("words", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[tuple[int, int], tuple] = {}
+            for b in batches:
+                row, w, x, node = look(b)
+                mark = b.column(0).to_numpy()
+                for kind, score in enumerate(scores(mark, row, w, x, node)):
+                    by = np.lexsort((mark, score, node))
+                    found, first = np.unique(node[by], return_index=True)
+                    for n, i in zip(found.tolist(), by[first].tolist(), strict=True):
+                        if n in chosen and ((n, kind) not in best or (score[i], mark[i]) < best[n, kind][:2]):
+                            best[n, kind] = (float(score[i]), int(mark[i]), b.column(1)[i].as_py(), b.column(2)[i].as_py())
+            flat = [(n, kind, *v) for (n, kind), v in best.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True) if flat else [[]] * 6, shape.types, strict=True)], schema=shape)
+
+        best: dict[int, dict[int, tuple]] = {n: {} for n in nodes}
+        for r in self.run(choose, "node long, kind int, score double, mark long, words array<int>, weights array<float>").to_pylist():
+            held, new = best[r["node"]], (r["score"], r["mark"], r["words"], r["weights"])
+            held[r["kind"]] = min(held.get(r["kind"], new), new)
+        return {n: [(np.array(held[kind][2], np.int64), np.array(held[kind][3], float)) for kind in sorted(held)] for n, held in best.items()}
+
+    def _seeds(self, nodes: list[int]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """A row of each node drawn by hash, and the row farthest from another one."""
+        seed, stride = self.seed, self.stride
+        mixed = lambda mark, salt: ((mark.astype(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(float)
+        drawn = self._least(nodes, lambda mark, row, w, x, node: [mixed(mark, seed), mixed(mark, seed + 0x5BD1E995)])
+        order = sorted(nodes)
+        key, value = np.concatenate([n * stride + drawn[n][1][0] for n in order]), np.concatenate([drawn[n][1][1] for n in order])
+
+        def near(mark, row, w, x, node) -> list[np.ndarray]:
+            of = node[row] * stride + w
+            at = np.minimum(np.searchsorted(key, of), len(key) - 1)
+            return [np.round(np.bincount(row, np.where(key[at] == of, value[at], 0.0) * x, minlength=len(node)), 6)]
+
+        far = self._least(nodes, near)
+        return {n: [drawn[n][0], far[n][0]] for n in nodes}
+
+    def _split(self, nodes: list[int]) -> None:
+        centers = self._seeds(nodes)
+        extra = {n: len(self.child) + 2 * i for i, n in enumerate(nodes)}
+        wanted = np.array([extra[n] + j for n in nodes for j in (0, 1)])
+        sums: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}
+        for _ in range(self.rounds):
+            new_keys = np.concatenate([n * self.stride + w for n in nodes for w, _ in centers[n]])
+            new_values = np.concatenate([v * (2 * j - 1) for n in nodes for j, (_, v) in enumerate(centers[n])])
+            new_keys, at = np.unique(new_keys, return_inverse=True)
+            keys = np.concatenate([self.keys, new_keys])
+            by = np.argsort(keys, kind="stable")
+            keys, values = keys[by], np.concatenate([self.values, np.bincount(at, new_values, minlength=len(new_keys))])[by]
+            before, sums = sums, self._sums(extra, keys, values, wanted)
+            for n in nodes:
+                for j in (0, 1):
+                    if (got := sums.get(extra[n] + j)) is not None:
+                        centers[n][j] = (got[1], got[2] / max(float(np.linalg.norm(got[2])), 1e-9))
+            if before.keys() == sums.keys() and all(before[n][0] == s[0] and np.array_equal(before[n][1], s[1]) and np.allclose(before[n][2], s[2], rtol=0, atol=1e-9) for n, s in sums.items()):
                 break
-            continue
-        y = x[rows]
-        c = np.stack([y[rng.integers(len(y))], y[(y @ y[rng.integers(len(y))]).argmin()]])
-        for _ in range(rounds):
-            near = (y @ c.T).argmax(1)
+        self.keys, self.values = keys, values
+        for n in nodes:
             for j in (0, 1):
-                if (near == j).any():
-                    t = y[near == j].sum(0)
-                    c[j] = t / max(float(np.linalg.norm(t)), 1e-9)
-        if near.all() or not near.any():
-            loss[worst] = -1.0
-            continue
-        leaves[worst], loss[worst] = rows[near == 0], spread(rows[near == 0])
-        leaves.append(rows[near == 1])
-        loss.append(spread(rows[near == 1]))
-    total = np.stack([x[r].sum(0) for r in leaves])
-    return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-
-def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int = 1500, sample_texts: int = 3000, words: int = 3000, sharpen: int = 3, spread: float = 0.5) -> SubjectModel:
-    """Fits leaves on a sample and labels them from the examples and the whole collection.
-
-    The clustering is fitted on at most ``sample_texts`` texts (documented
-    bound, drawn by hash) and the examples, over the ``words`` most frequent
-    words of the sample. Leaves are labelled by discriminative terms of the
+                rows, w, v = sums.get(extra[n] + j, (0.0, np.zeros(0, np.int64), np.zeros(0)))
+                self.child.append(-1)
+                self.n.append(rows)
+                self.sums.append((w, v))
+            self.child[n] = extra[n]
+
+    def leaves(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Words and weights of the unit centroids of at most ``k`` leaves."""
+        self.child = [-1]
+        whole = self._sums({}, self.keys, self.values, np.array([0]))
+        if not whole:
+            return []
+        self.n, self.sums = [whole[0][0]], [whole[0][1:]]
+        spread = lambda i: self.n[i] - float(np.linalg.norm(self.sums[i][1]))
+        halves = lambda i: all(self.n[self.child[i] + j] for j in (0, 1))
+        while True:
+            ends = [i for i, c in enumerate(self.child) if c < 0 and spread(i) >= 0.05 * self.n[i] and self.n[i] >= 2 * self.least]
+            split = [i for i, c in enumerate(self.child) if c >= 0 and halves(i)]
+            kept = set(sorted([*split, *ends], key=lambda i: (-spread(i), i))[: k - 1])
+            if not (todo := [i for i in ends if i in kept]):
+                break
+            self._split(todo)
+        kept &= set(split)
+        out, todo = [], [0]
+        while todo:
+            i = todo.pop()
+            if i in kept:
+                todo.extend((self.child[i], self.child[i] + 1))
+            else:
+                w, v = self.sums[i]
+                out.append((w, v / max(float(np.linalg.norm(v)), 1e-9)))
+        return out
+
+
+def bisecting_means(x: np.ndarray, k: int, seed: int = 5, rounds: int = 6, least: int = 4) -> np.ndarray:
+    """Unit centroids of at most ``k`` leaves; the leaf with the greatest spread is split next."""
+    words = pa.array([np.flatnonzero(v).astype(np.int32) for v in x], pa.list_(pa.int32()))
+    weights = pa.array([v[v != 0].astype(np.float32) for v in x], pa.list_(pa.float32()))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int64)), words, weights], ["mark", "words", "weights"])
+    found = _Bisection(lambda task, _: pa.Table.from_batches(task(iter([rows]))), x.shape[1], seed, rounds, least).leaves(k)
+    out = np.zeros((len(found), x.shape[1]), np.float32)
+    for i, (w, v) in enumerate(found):
+        out[i, w] = v
+    return out
+
+
+def _vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Words of at least 3 sentences that are no names, and their idf, counted over all texts.
+
+    Words that stand with a capital inside sentences are names (places, persons, months); they tell of no subject.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            df, capital, small = Counter(), Counter(), Counter()
+            for t in b.column(0).to_pylist():
+                for words, _ in own_sentences(t):
+                    df.update(set(words))
+                    df[""] += 1  # all sentences
+                if not (t.isupper() or t.islower()):
+                    for part in _END.split(t):
+                        for w in _WORD.findall(part)[1:]:
+                            (capital if w[0].isupper() else small)[w.lower()] += 1
+            every = sorted({*df, *capital, *small})
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[w] for w in every], pa.int64()) for c in (df, capital, small))], ["word", "n", "capital", "small"])
+
+    sums = texts.mapInArrow(count, "word string, n long, capital long, small long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "capital", "small")))
+    found = {r.word: r.n for r in sums.where("word = '' or (n >= 3 and capital <= 3 * small)").select("word", "n").collect()}
+    sentences = found.pop("", 0)
+    kept = sorted(found)
+    return kept, np.array([np.log(sentences / found[w]) for w in kept], np.float32)
+
+
+def _sentences(texts: DataFrame, model: SubjectModel) -> DataFrame:
+    """``mark, words, weights``: the vector of every distinct sentence of the texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = sorted({key for t in b.column(0).to_pylist() for w, _ in own_sentences(t) if (key := shared.value.known(w))})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["known"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [shared.value.vector(tuple(k)) for k in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w for w, _ in at], pa.list_(pa.int32())), pa.array([v for _, v in at], pa.list_(pa.float32()))], ["mark", "words", "weights"])
+
+    distinct = texts.mapInArrow(place, "known array<int>").distinct()
+    return materialize(distinct.select(F.xxhash64("known").alias("mark"), "known").mapInArrow(weigh, "mark long, words array<int>, weights array<float>"), "subject-sentences")
+
+
+def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int = 1500, sharpen: int = 3, spread: float = 0.5) -> SubjectModel:
+    """Fits leaves on the sentences of all texts and labels them from the examples and the whole collection.
+
+    Words are counted over all texts, and the rounds of the clustering are sums
+    over the vectors of all distinct sentences. Only the labelled examples (at
+    most 20,000) come to the driver. Leaves are labelled by discriminative terms of the
     examples (``subject``, ``text``). What no example shows is learnt from all
     records: a leaf takes the subjects of the documents in which its sentences
     stand, so far as these exceed the subjects of all documents, and the
@@ -116,22 +336,19 @@ def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int =
     """
     given = [(r.subject, r.text) for r in examples.where("subject is not null and text is not null").select("subject", "text").limit(20_000).collect()]
     subjects = sorted({s for s, _ in given})
-    some = records.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t")).orderBy(F.xxhash64("t")).limit(sample_texts)
-    texts = [r.t for r in some.collect()]
     shown = [(subjects.index(s), w) for s, t in given for w, own in own_sentences(t) if own]
-    sample = [w for t in texts for w, _ in own_sentences(t)] + [w for _, w in shown]
-    df: Counter = Counter()
-    for w in sample:
-        df.update(set(w))
-    names = _names([*texts, *(t for _, t in given)])
-    kept = sorted(w for w, n in sorted(df.items(), key=lambda e: (-e[1], e[0]))[:words] if n >= 3 and w not in names)
-    idf = np.array([np.log(len(sample) / df[w]) for w in kept], np.float32)
-    model = SubjectModel(subjects, {w: i for i, w in enumerate(kept)}, idf, np.zeros((0, len(kept)), np.float32))
-    distinct = {tuple(sorted(x for x in w if x in model.place)): w for w in sample}
-    vectors = [v for w in distinct.values() if (v := model.vector(w)) is not None]
-    if not vectors or not subjects:
-        return SubjectModel(subjects, model.place, idf, np.zeros((1, len(kept)), np.float32), np.zeros((1, len(subjects))))
-    model.leaves = bisecting_means(np.stack(vectors), leaves)
+    texts = records.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"))
+    if given:
+        texts = texts.unionByName(records.sparkSession.createDataFrame([(t,) for _, t in given], "t string"))
+    kept, idf = _vocabulary(texts)
+    model = SubjectModel(subjects, {w: i for i, w in enumerate(kept)}, idf, Leaves.of([], len(kept)))
+    if kept and subjects:
+        vectors = _sentences(texts, model)
+        found = _Bisection(lambda task, shape: vectors.mapInArrow(task, shape).toArrow(), len(kept), 5, 6, 4).leaves(leaves)
+        model.leaves = Leaves.of(found, len(kept))
+    if not model.leaves.number:
+        model.mixture = np.zeros((1, len(subjects)))
+        return model
 
     # discriminative terms: how much more often a term stands in a subject's examples than in all
     n_of = np.ones((len(subjects), len(kept)))
@@ -141,8 +358,8 @@ def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int =
     share = n_of / n_of.sum(1, keepdims=True)
     strength = np.log(share / share.mean(0))
     strength[:, n_of.sum(0) < len(subjects) + 2] = 0
-    score = model.leaves @ np.maximum(strength, 0).T.astype(np.float32)
-    seen = np.zeros((len(model.leaves), len(subjects)))
+    score = model.leaves.times(np.maximum(strength, 0).T)
+    seen = np.zeros((model.leaves.number, len(subjects)))
     for s, w in shown:
         if (leaf := model.leaf(w)) >= 0:
             seen[leaf, s] += 1
@@ -163,19 +380,6 @@ def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int =
     return model
 
 
-def _names(texts: list[str]) -> set[str]:
-    """Words that stand with a capital inside sentences: places, persons, months; they tell of no subject."""
-    capital: Counter = Counter()
-    small: Counter = Counter()
-    for t in texts:
-        if t.isupper() or t.islower():
-            continue
-        for part in _END.split(t):
-            for w in _WORD.findall(part)[1:]:
-                (capital if w[0].isupper() else small)[w.lower()] += 1
-    return {w for w, n in capital.items() if n > 3 * small[w]}
-
-
 def _leaf_lists(records: DataFrame, text_col: str, model: SubjectModel) -> DataFrame:
     """The leaves of the own sentences of every text, kept so that texts are read once for all rounds."""
     shared = records.sparkSession.sparkContext.broadcast(model)
