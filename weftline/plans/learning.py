@@ -345,13 +345,13 @@ def _(t):
 def _(t):
     """Words that make up a fifth of each topic."""
     words = t("documents").where("text is not null").select("doc_id", X.word_tokens("text").alias("words"))
-    return L.Topics(words, "words", 3, 3, 500).topics(cutoff=0.2)
+    return L.Topics(words, "words", 3).topics(cutoff=0.2)
 
 
 @BOOK.add("clu_topics")
 def _(t):
     words = t("documents").where("text is not null").select("doc_id", X.word_tokens("text").alias("words"))
-    return L.Topics(words, "words", 4, 5, 2000).top_words(5)
+    return L.Topics(words, "words", 4).top_words(5)
 
 
 # --- classification
