@@ -89,3 +89,20 @@ def test_sparse_search(spark, rerank):
     assert len(pairs & mine) >= 0.9 * len(pairs)
     true = {(i, b): s for i in want for b, s in want[i]}
     assert all(abs(got[i][b] - true[i, b]) < 1e-5 for i, b in pairs & mine)
+
+
+def test_copies_that_are_not_all_asked_find_all_neighbours(spark):
+    """The first copy of each class is not asked, the others are; their neighbours lie in other cells."""
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    rows = [(i + 1000 * c, x[i].tolist()) for i in range(300) for c in range(3)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    for r in ann.similar_vectors(df, "id", "v", ann.Dense(8), k=5, n_probe=8192, list_rows=8, rerank=None, queries="id >= 1000").collect():
+        got.setdefault(r.key, []).append((r.rank, r.neighbour))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(y @ y.T, 6)
+    assert set(got) == {1000 * c + i for i in range(300) for c in (1, 2)}
+    for i in range(300):
+        j = max((j for j in range(300) if j != i), key=lambda j: sim[i, j])
+        assert [n for _, n in sorted(got[1000 + i])] == [i, 2000 + i, j, 1000 + j, 2000 + j]
+        assert [n for _, n in sorted(got[2000 + i])] == [i, 1000 + i, j, 1000 + j, 2000 + j]

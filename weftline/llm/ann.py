@@ -426,6 +426,19 @@ def similar_vectors(
                         sims.append(s[j])
         return pa.table({"rep": pa.array(rep, kt), "other": pa.array(other, kt), "similarity": pa.array(sims, pa.float64())})
 
+    if queries:
+        # a class of copies is sent as one row, under its smallest key, if any of its records is asked
+        vector_type = dict(source.dtypes)["v"]
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                marks = [p and xxhash.xxh3_128_digest(p) for p in kind.payloads(b.column(1))]
+                kept = pa.array([i for i, (m, key) in enumerate(zip(marks, b.column(0).to_pylist(), strict=True)) if m and hot.get(m, key) == key], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(kept) for i in range(3)), pa.array(marks, pa.binary()).take(kept)], ["key", "v", "asked", "mark"])
+
+        rows = source.mapInArrow(marked, f"key {key_type}, v {vector_type}, asked boolean, mark binary")
+        rows = rows.join(copies.select("mark", "rep", F.col("asked").alias("any")), "mark", "left").where("rep is null or key = rep")
+        source = rows.select("key", "v", F.coalesce("any", "asked").alias("asked"))
     sent = source.mapInArrow(send, f"cell int, block int, key {key_type}, base_list int, probed array<int>, payload binary")
     part = sent.groupBy("cell", "block").applyInArrow(search, f"rep {key_type}, other {key_type}, similarity double")
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")
