@@ -106,3 +106,10 @@ def test_copies_that_are_not_all_asked_find_all_neighbours(spark):
         j = max((j for j in range(300) if j != i), key=lambda j: sim[i, j])
         assert [n for _, n in sorted(got[1000 + i])] == [i, 2000 + i, j, 1000 + j, 2000 + j]
         assert [n for _, n in sorted(got[2000 + i])] == [i, 1000 + i, j, 1000 + j, 2000 + j]
+
+
+def test_probes_as_a_share_of_the_lists(spark):
+    x = np.random.default_rng(4).normal(size=(200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    few, every = (ann.similar_vectors(df, "id", "v", ann.Dense(8), k=5, n_probe=p, list_rows=8, rerank=None).orderBy("key", "rank").collect() for p in (0.99999, 25))
+    assert few == every and len(every) == 1000

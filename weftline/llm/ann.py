@@ -247,7 +247,7 @@ def similar_vectors(
     vector_col: str,
     kind: Dense | Sparse,
     k: int = 5,
-    n_probe: int = 8,
+    n_probe: float = 8,
     list_rows: int = 64,
     max_lists: int = 8192,
     train_rows: int = 30_000,
@@ -265,6 +265,7 @@ def similar_vectors(
     cell that holds one of its ``n_probe`` nearest lists. There its candidates
     are scored with asymmetric tables against the codes, the best ``rerank``
     of each list are scored exactly, and partial results meet in a top-k.
+    An ``n_probe`` below 1 is a share of the lists.
     With ``rerank`` None every row of the probed lists is scored exactly: for
     sparse vectors whose neighbours are hardly similar at all, which no code
     can rank. With ``min_similarity``, candidates scored below it by more than ``slack``
@@ -310,6 +311,7 @@ def similar_vectors(
         picked = source.select("v").limit(train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
     sample = kind.sketch(list(dict.fromkeys(map(bytes, picked)))[:train_rows])
     n_lists = max(1, min(max_lists, distinct // list_rows))
+    probed_lists = int(n_probe) if n_probe >= 1 else -int(-n_probe * n_lists // 1)
     n_cells = max(1, min(n_lists, max(8, distinct // 10_000)))
     index = IvfPq.fit(sample, n_lists, n_cells, sub, distinct / 24_000)
     shared = spark.sparkContext.broadcast(index)
@@ -330,7 +332,7 @@ def similar_vectors(
                 if not kept:
                     continue
                 x = kind.sketch([payloads[i] for i in kept])
-                lists = ix.probes(x, n_probe)
+                lists = ix.probes(x, probed_lists)
                 rows: list[tuple] = []
                 for r, i in enumerate(kept):
                     own = ix.cell_of[lists[r, 0]]
