@@ -37,7 +37,7 @@ def clustered(n=400, dim=16):
 def test_recall_of_dense_search(spark):
     rows = clustered()
     got: dict = {}
-    for r in ann.similar_vectors(frame(spark, rows), "id", "v", ann.Dense(16), k=5, n_probe=4, list_rows=20, sub=4).collect():
+    for r in ann.similar_vectors(frame(spark, rows), "id", "v", ann.Dense(16), k=5, files=(("plain", 4),), list_rows=20, sub=4).collect():
         got.setdefault(r.key, set()).add(r.neighbour)
     want = brute({i: Vec(v) for i, v in rows}, 5)
     assert np.mean([len(got[i] & {b for b, _ in want[i]}) / 5 for i in want]) >= 0.9
@@ -45,7 +45,7 @@ def test_recall_of_dense_search(spark):
 
 def test_queries_are_sought_among_all_rows(spark):
     rows = clustered()
-    out = ann.similar_vectors(frame(spark, rows), "id", "v", ann.Dense(16), k=3, n_probe=100, list_rows=50, sub=4, queries="id % 100 = 0").collect()
+    out = ann.similar_vectors(frame(spark, rows), "id", "v", ann.Dense(16), k=3, files=(("plain", 100),), list_rows=50, sub=4, rerank=400, queries="id % 100 = 0").collect()
     want = brute({i: Vec(v) for i, v in rows}, 3)
     assert {(r.key, r.neighbour) for r in out} == {(i, b) for i in want if i % 100 == 0 for b, _ in want[i]}
     assert sorted({r.rank for r in out}) == [1, 2, 3]
@@ -55,7 +55,7 @@ def test_copies_ties_unusable_vectors_and_repeats(spark):
     a, b = [1.0, 0.0, 0.0, 0.0], [0.9, 0.1, 0.0, 0.0]
     rows = [(i, a) for i in range(300)] + [(500, b), (501, [2.0, 0.0, 0.0, 0.0]), (600, None), (601, [0.0] * 4), (602, [1.0]), (603, [float("nan"), 1.0, 0.0, 0.0]), (604, [None, 1.0, 1.0, 1.0]), (None, a), (605, [])]
     out: dict = {}
-    for r in ann.similar_vectors(frame(spark, rows + rows[:5]), "id", "v", ann.Dense(4), k=3, sub=2, min_similarity=0.9).orderBy("key", "rank").collect():
+    for r in ann.similar_vectors(frame(spark, rows + rows[:5]), "id", "v", ann.Dense(4), k=3, sub=2).where("similarity >= 0.9").orderBy("key", "rank").collect():
         out.setdefault(r.key, []).append(r.neighbour)
     assert out[0] == [1, 2, 3] and out[1] == [0, 2, 3] and out[299] == [0, 1, 2]
     assert out[500] == [0, 1, 2] and out[501] == [0, 1, 2]
@@ -65,17 +65,17 @@ def test_copies_ties_unusable_vectors_and_repeats(spark):
 @pytest.mark.parametrize("kind", [ann.Dense(4), ann.Sparse()])
 def test_empty_table(spark, kind):
     df = frame(spark, []) if isinstance(kind, ann.Dense) else spark.createDataFrame([], "id long, v map<string,double>")
-    assert ann.similar_vectors(df, "id", "v", kind).count() == 0
+    assert ann.similar_vectors(df, "id", "v", kind, files=(("signs", 0.5),)).count() == 0
 
 
-@pytest.mark.parametrize("rerank", [64, None])
-def test_sparse_search(spark, rerank):
+@pytest.mark.parametrize("files", [(("signs", 6),), (("learned", 0.3), ("signs", 2))])
+def test_sparse_search(spark, files):
     rng = np.random.default_rng(1)
     groups = [{f"g{g}_{t}": float(rng.uniform(3, 9)) for t in range(6)} for g in range(30)]
     rows = [(i, {**groups[i % 30], **{f"c{rng.integers(40)}": 1.0 for _ in range(5)}, f"u{i}": 2.0}) for i in range(300)]
     df = spark.createDataFrame([*rows, (900, {}), (901, None), (902, {"x": None}), (903, {"x": 0.0, "y": float("nan")}), (None, {"x": 1.0})], "id long, v map<string,double>")
     got: dict = {}
-    for r in ann.similar_vectors(df, "id", "v", ann.Sparse(), k=5, n_probe=6, list_rows=16, rerank=rerank, min_similarity=0.5).collect():
+    for r in ann.similar_vectors(df, "id", "v", ann.Sparse(), k=5, files=files, list_rows=16, rerank=64).where("similarity >= 0.5").collect():
         got.setdefault(r.key, {})[r.neighbour] = r.similarity
 
     class Bag(dict):
@@ -97,7 +97,7 @@ def test_copies_that_are_not_all_asked_find_all_neighbours(spark):
     rows = [(i + 1000 * c, x[i].tolist()) for i in range(300) for c in range(3)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     got = {}
-    for r in ann.similar_vectors(df, "id", "v", ann.Dense(8), k=5, n_probe=8192, list_rows=8, rerank=None, queries="id >= 1000").collect():
+    for r in ann.similar_vectors(df, "id", "v", ann.Dense(8), k=5, files=(("plain", 8192),), list_rows=8, sub=4, rerank=900, queries="id >= 1000").collect():
         got.setdefault(r.key, []).append((r.rank, r.neighbour))
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     sim = np.round(y @ y.T, 6)
@@ -111,5 +111,26 @@ def test_copies_that_are_not_all_asked_find_all_neighbours(spark):
 def test_probes_as_a_share_of_the_lists(spark):
     x = np.random.default_rng(4).normal(size=(200, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    few, every = (ann.similar_vectors(df, "id", "v", ann.Dense(8), k=5, n_probe=p, list_rows=8, rerank=None).orderBy("key", "rank").collect() for p in (0.99999, 25))
+    few, every = (ann.similar_vectors(df, "id", "v", ann.Dense(8), k=5, files=(("plain", p),), list_rows=8, sub=4, rerank=200).orderBy("key", "rank").collect() for p in (0.99999, 25))
     assert few == every and len(every) == 1000
+
+
+def test_exact_products_of_sparse_vectors():
+    rng = np.random.default_rng(5)
+    bags = [{f"t{j}": float(rng.normal()) for j in rng.choice(60, rng.integers(1, 20), replace=False)} for _ in range(50)]
+    import pyarrow as pa
+
+    payloads = ann.Sparse().payloads(pa.array([list(b.items()) for b in bags], pa.map_(pa.string(), pa.float64())))
+    a, b = (rng.integers(50, size=500) for _ in range(2))
+    norm = [np.sqrt(sum(v * v for v in x.values())) for x in bags]
+    want = [sum(v * bags[j].get(t, 0.0) for t, v in bags[i].items()) / norm[i] / norm[j] for i, j in zip(a, b, strict=True)]
+    assert np.allclose(ann.Sparse().exact(payloads)(a, b), want, atol=1e-6)
+
+
+def test_a_crowded_cell_is_cut_into_blocks_of_rows_and_seekers(spark, monkeypatch):
+    """Blocks change the work, not the result."""
+    rows = clustered(300)
+    search = lambda: {(r.key, r.rank): r.neighbour for r in ann.similar_vectors(frame(spark, rows), "id", "v", ann.Dense(16), k=4, files=(("plain", 0.5), ("plain", 0.2)), list_rows=20, sub=4, rerank=300).collect()}
+    whole, fit = search(), ann.IvfPq.fit.__func__
+    monkeypatch.setattr(ann.IvfPq, "fit", classmethod(lambda cls, *a, **k: fit(cls, *a[:4], 20.0, **k)))
+    assert search() == whole and len(whole) == 1200

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +17,12 @@ from pyspark.sql.window import Window
 from weftline.llm.overlap import _mix
 from weftline.runtime import materialize
 
-#: Dimensions of the sign projection that stands for a sparse vector in the index; reranking uses the sparse vector itself.
+#: Dimensions of the sign projection and of the learned one that stand for a sparse vector in the index; reranking uses the sparse vector itself.
 SKETCH_DIM = 128
+LEARNED_DIM = 256
+#: Terms and sampled vectors that the learned projection is fitted on: a documented bound on the fit, every row is indexed.
+LEARNED_TERMS = 2048
+LEARNED_ROWS = 8000
 
 
 # --- vectors ---------------------------------------------------------------------------------
@@ -46,14 +50,20 @@ class Dense:
     def sketch(self, payloads: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(payloads), np.float32).reshape(-1, self.dim)
 
+    def view(self, name: str, number: int, sample: list[bytes]) -> Callable[[list[bytes]], np.ndarray]:
+        """What an inverted file is built on: the vector itself."""
+        return self.sketch
+
     def exact(self, payloads: list[bytes]):
         x = self.sketch(payloads).astype(np.float64)
-        return lambda a, b: np.einsum("ij,ij->i", x[a], x[b])
 
-    def rows(self, payloads: list[bytes]):
-        """Similarities of one vector to all of the group."""
-        x = self.sketch(payloads).astype(np.float64)
-        return lambda i: x @ x[i]
+        def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            total = np.empty(len(a))
+            for s in range(0, len(a), 100_000):
+                total[s : s + 100_000] = np.einsum("ij,ij->i", x[a[s : s + 100_000]], x[b[s : s + 100_000]])
+            return total
+
+        return dots
 
 
 class Sparse:
@@ -96,73 +106,134 @@ class Sparse:
         weights = np.frombuffer(b"".join(p[4 * k :] for p, k in zip(payloads, n, strict=True)), np.float32)
         return n, terms, weights
 
-    def sketch(self, payloads: list[bytes]) -> np.ndarray:
-        out = np.empty((len(payloads), SKETCH_DIM), np.float32)
-        for s in range(0, len(payloads), 400):
-            n, terms, weights = self._parts(payloads[s : s + 400])
-            bits = np.stack([_mix(terms, 11), _mix(terms, 12)], 1).view(np.uint8)
-            signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
-            signs *= weights[:, None]
-            out[s : s + 400] = np.add.reduceat(signs, np.cumsum(n) - n, axis=0)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    def view(self, name: str, number: int, sample: list[bytes]) -> Callable[[list[bytes]], np.ndarray]:
+        """What an inverted file is built on.
+
+        ``signs``: a random sign projection, which keeps all terms alike and so
+        finds near twins by whatever they share; files of different ``number``
+        have independent signs. ``learned``: the principal directions of the
+        terms that weigh most in the sample, which rank vectors that share no
+        more than their common terms; its length tells how much of a vector it
+        explains, so it is not normalised.
+        """
+        if name == "signs":
+            return _Signs(number)
+        if name == "learned":
+            return _Learned.fit(sample)
+        raise ValueError(f"no view of sparse vectors is called {name!r}")
 
     def exact(self, payloads: list[bytes]):
         n, terms, weights = self._parts(payloads)
         start = np.cumsum(n) - n
-        row = np.repeat(np.arange(len(n)), n).astype(np.uint64)
-        # terms are numbered within the group, so that (row, term) is one sorted integer
-        number = np.unique(terms, return_inverse=True)[1].astype(np.uint64)
-        slot = (row << np.uint64(32)) | number
-        order = np.argsort(slot)
-        slot, value = slot[order], weights[order].astype(np.float64)
-        mine, weight = number, weights.astype(np.float64)
+        # terms are numbered within the group; some records at a time lie open, the others' terms look up their weights
+        number = np.unique(terms, return_inverse=True)[1]
+        width = int(number.max()) + 1 if len(number) else 1
+        together = max(1, 2_000_000 // width)
+        open_rows = np.zeros((together, width), np.float32)
+
+        def spread(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Places of the entries of rows, and their number in each."""
+            many = n[rows]
+            return np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[rows], many), many
 
         def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             total = np.zeros(len(a))
-            for s in range(0, len(a), 20_000):
-                x, y = a[s : s + 20_000], b[s : s + 20_000]
-                many = n[x]
-                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[x], many)
-                wanted = (np.repeat(y, many).astype(np.uint64) << np.uint64(32)) | mine[at]
-                place = np.minimum(np.searchsorted(slot, wanted), len(slot) - 1)
-                hit = slot[place] == wanted
-                pair = np.repeat(np.arange(len(x)), many)[hit]
-                total[s : s + 20_000] = np.bincount(pair, weights=weight[at[hit]] * value[place[hit]], minlength=len(x))
+            by = np.argsort(a, kind="stable")
+            own, first = np.unique(a[by], return_index=True)
+            first = np.append(first, len(a))
+            for s in range(0, len(own), together):
+                rows = own[s : s + together]
+                at, many = spread(rows)
+                slot = np.repeat(np.arange(len(rows)), many)
+                open_rows[slot, number[at]] = weights[at]
+                end = first[s + len(rows)]
+                for lo in range(first[s], end, 20_000):
+                    some = by[lo : min(lo + 20_000, end)]
+                    other, count = spread(b[some])
+                    where = np.repeat(np.searchsorted(rows, a[some]), count)
+                    value = open_rows[where, number[other]].astype(np.float64) * weights[other]
+                    total[some] = np.add.reduceat(value, np.cumsum(count) - count)
+                open_rows[slot, number[at]] = 0.0
             return total
 
         return dots
 
 
-    def rows(self, payloads: list[bytes]):
-        """Similarities of one vector to all of the group, by the posting lists of its terms."""
-        n, terms, weights = self._parts(payloads)
-        row, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-        number = np.unique(terms, return_inverse=True)[1]
-        by = np.argsort(number, kind="stable")
-        holder, value = row[by], weights[by].astype(np.float64)
-        size = np.bincount(number)
-        first = np.cumsum(size) - size
+class _Signs:
+    """Sum of a vector's weights under random signs of its terms, in ``SKETCH_DIM`` dimensions, normalised."""
 
-        def similarities(i: int) -> np.ndarray:
-            t = number[start[i] : start[i] + n[i]]
-            many = size[t]
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[t], many)
-            own = np.repeat(weights[start[i] : start[i] + n[i]].astype(np.float64), many)
-            return np.bincount(holder[at], weights=value[at] * own, minlength=len(n))
+    def __init__(self, number: int) -> None:
+        self.number = number
 
-        return similarities
+    def __call__(self, payloads: list[bytes]) -> np.ndarray:
+        out = np.empty((len(payloads), SKETCH_DIM), np.float32)
+        for s in range(0, len(payloads), 400):
+            n, terms, weights = Sparse._parts(payloads[s : s + 400])
+            bits = np.stack([_mix(terms, 11 + 2 * self.number), _mix(terms, 12 + 2 * self.number)], 1).view(np.uint8)
+            signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
+            signs *= weights[:, None]
+            out[s : s + 400] = np.add.reduceat(signs, np.cumsum(n) - n, axis=0)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+@dataclass
+class _Learned:
+    """Projection on the principal directions of the heaviest terms."""
+
+    terms: np.ndarray
+    directions: np.ndarray
+
+    @classmethod
+    def fit(cls, sample: list[bytes]) -> _Learned:
+        n, terms, weights = Sparse._parts(sample[:LEARNED_ROWS])
+        names, number = np.unique(terms, return_inverse=True)
+        mass = np.bincount(number, weights=weights.astype(float) ** 2)
+        kept = np.sort(np.argsort(-mass, kind="stable")[:LEARNED_TERMS])
+        model = cls(names[kept], np.eye(len(kept), dtype=np.float32))
+        spread = np.zeros((len(kept), len(kept)), np.float32)
+        for s in range(0, len(n), 1000):
+            x = model._open(sample[s : min(s + 1000, len(n))])
+            spread += x.T @ x
+        model.directions = np.ascontiguousarray(np.linalg.eigh(spread)[1][:, ::-1][:, :LEARNED_DIM])
+        # the codes take parts of equal width
+        short = -model.directions.shape[1] % 32
+        if short:
+            model.directions = np.pad(model.directions, ((0, 0), (0, short)))
+        return model
+
+    def _open(self, payloads: list[bytes]) -> np.ndarray:
+        n, terms, weights = Sparse._parts(payloads)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        hit = self.terms[at] == terms
+        x = np.zeros((len(n), len(self.terms)), np.float32)
+        x[np.repeat(np.arange(len(n)), n)[hit], at[hit]] = weights[hit]
+        return x
+
+    def __call__(self, payloads: list[bytes]) -> np.ndarray:
+        parts = [self._open(payloads[s : s + 400]) @ self.directions for s in range(0, len(payloads), 400)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.directions.shape[1]), np.float32)
 
 
 # --- index -----------------------------------------------------------------------------------
 
 
+def _sums(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of the rows of each label."""
+    order = np.argsort(label, kind="stable")
+    found, first = np.unique(label[order], return_index=True)
+    total, number = np.zeros((k, x.shape[1]), np.float32), np.zeros(k, np.int64)
+    if len(found):
+        total[found] = np.add.reduceat(x[order], first, axis=0)
+        number[found] = np.diff(np.append(first, len(label)))
+    return total, number
+
+
 def _spherical_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         near = np.concatenate([(x[s : s + 4096] @ c.T).argmax(1) for s in range(0, len(x), 4096)])
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
+        total = _sums(x, near, len(c))[0]
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), c).astype(np.float32)
     return c
@@ -199,11 +270,8 @@ class IvfPq:
             x = rows[:, m * width : (m + 1) * width]
             book = x[rng.choice(len(x), 256, replace=len(x) < 256)]
             for _ in range(5):
-                code = cls._nearest(x, book)
-                count = np.bincount(code, minlength=256)[:, None]
-                total = np.zeros_like(book)
-                np.add.at(total, code, x)
-                book = np.where(count > 0, total / np.maximum(count, 1), book)
+                total, count = _sums(x, cls._nearest(x, book), 256)
+                book = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], book)
             books[m] = book
         # a cell that holds far more than its share of the sample is split into blocks of base rows
         share = np.bincount(cell_of[near], minlength=len(top)) / len(sample)
@@ -234,44 +302,57 @@ class IvfPq:
         width = self.books.shape[2]
         return np.stack([q[:, m * width : (m + 1) * width] @ b.T for m, b in enumerate(self.books)], 0)
 
-    def approximate(self, q: np.ndarray, tables: np.ndarray, which: np.ndarray, codes: np.ndarray, which_list: int) -> np.ndarray:
-        score = np.repeat((q[which] @ self.centroids[which_list])[:, None], len(codes), 1)
+    def approximate(self, q: np.ndarray, tables: np.ndarray, codes: np.ndarray, which_list: int) -> np.ndarray:
+        """Inner products of queries with the coded rows of a list."""
+        score = np.repeat((q @ self.centroids[which_list])[:, None], len(codes), 1)
         for m in range(len(self.books)):
-            score += tables[m][which][:, codes[:, m]]
+            score += tables[m][:, codes[:, m]]
         return score
 
 
+@dataclass
+class _Files:
+    """The inverted files of one search: a view and an index each, their cells numbered through."""
+
+    views: list[Callable[[list[bytes]], np.ndarray]]
+    indexes: list[IvfPq]
+    probes: list[int]
+    first_cell: np.ndarray
+
+    @staticmethod
+    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        norm = np.maximum(np.linalg.norm(x, axis=1), 1e-12).astype(np.float32)
+        return (x / norm[:, None]).astype(np.float32), norm
+
+
 def similar_vectors(
     records: DataFrame,
     key_col: str,
     vector_col: str,
     kind: Dense | Sparse,
     k: int = 5,
-    n_probe: float = 8,
-    list_rows: int = 64,
+    files: tuple[tuple[str, float], ...] = (("plain", 8),),
+    list_rows: int = 32,
     max_lists: int = 8192,
     train_rows: int = 30_000,
     sub: int = 16,
-    rerank: int | None = 128,
-    min_similarity: float | None = None,
-    slack: float = 0.17,
+    rerank: int = 128,
     queries: str | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other records of every record, by cosine similarity.
 
-    The index is fitted on a sample of at most ``train_rows`` vectors (a
-    documented bound; the sample is drawn by hash of the key) and holds every
-    usable vector. A vector is sent once to its own cell and once to each other
-    cell that holds one of its ``n_probe`` nearest lists. There its candidates
-    are scored with asymmetric tables against the codes, the best ``rerank``
-    of each list are scored exactly, and partial results meet in a top-k.
-    An ``n_probe`` below 1 is a share of the lists.
-    With ``rerank`` None every row of the probed lists is scored exactly: for
-    sparse vectors whose neighbours are hardly similar at all, which no code
-    can rank. With ``min_similarity``, candidates scored below it by more than ``slack``
-    are not reranked and pairs below it are left out. ``queries``, an SQL
-    condition on the key, restricts the records for which neighbours are
-    sought, never the records among which.
+    Each of the inverted ``files`` (view, probes; see ``Sparse.view``) is
+    fitted on a sample of at most ``train_rows`` vectors (a documented bound;
+    drawn by hash of the key) from a start of its own, so that what one misses
+    another finds; every usable vector stands in every file. In each file a vector is sent
+    once to its own cell and once to each other cell that holds one of its
+    nearest lists, as many as there are ``probes`` (below 1: a share of the
+    lists). There the rows of these lists are scored with asymmetric tables
+    against the codes, the best ``rerank`` of a cell are scored exactly, and
+    partial results of all cells and files meet in a top-k. A cell that holds
+    more than its share is cut into a grid of blocks of rows and of seekers.
+    ``queries``, an SQL condition on the key, restricts the records for which
+    neighbours are sought, never the records among which.
 
     Exact copies are searched once: each record first gets its copies by
     ascending key. Ties go to the smaller key. Unusable vectors (see ``Dense``
@@ -309,15 +390,16 @@ def similar_vectors(
     picked = source.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(10_000)) < per_10000).select("v").limit(2 * train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
     if not picked:
         picked = source.select("v").limit(train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
-    sample = kind.sketch(list(dict.fromkeys(map(bytes, picked)))[:train_rows])
+    sample = list(dict.fromkeys(map(bytes, picked)))[:train_rows]
     n_lists = max(1, min(max_lists, distinct // list_rows))
-    probed_lists = int(n_probe) if n_probe >= 1 else -int(-n_probe * n_lists // 1)
     n_cells = max(1, min(n_lists, max(8, distinct // 10_000)))
-    index = IvfPq.fit(sample, n_lists, n_cells, sub, distinct / 24_000)
-    shared = spark.sparkContext.broadcast(index)
+    views = [kind.view(name, i, sample) for i, (name, _) in enumerate(files)]
+    indexes = [IvfPq.fit(_Files.unit(v(sample))[0], n_lists, n_cells, sub, distinct / 24_000, seed=7 + i) for i, v in enumerate(views)]
+    probes = [max(1, math.ceil(p * len(ix.centroids))) if p < 1 else int(p) for (_, p), ix in zip(files, indexes, strict=True)]
+    shared = spark.sparkContext.broadcast(_Files(views, indexes, probes, np.cumsum([0, *(len(ix.blocks) for ix in indexes)])))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = shared.value
+        held = shared.value
         for whole in batches:
             for b in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
                 payloads, keys, asked = kind.payloads(b.column(1)), b.column(0).to_pylist(), b.column(2).to_pylist()
@@ -331,29 +413,36 @@ def similar_vectors(
                         kept.append(i)
                 if not kept:
                     continue
-                x = kind.sketch([payloads[i] for i in kept])
-                lists = ix.probes(x, probed_lists)
-                rows: list[tuple] = []
-                for r, i in enumerate(kept):
-                    own = ix.cell_of[lists[r, 0]]
-                    reached: dict[int, list[int]] = {own: []}
-                    if asked[i]:
-                        for one in lists[r].tolist():
-                            reached.setdefault(int(ix.cell_of[one]), []).append(one)
-                    for cell, probed in reached.items():
-                        n_blocks = ix.blocks[cell]
-                        for block in range(n_blocks):
-                            base = cell == own and hash(keys[i]) % n_blocks == block
-                            if base or probed:
-                                rows.append((int(cell), block, keys[i], int(lists[r, 0]) if base else -1, probed, payloads[i]))
-                cell, block, key, base, probed, payload = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(key, b.column(0).type), pa.array(base, pa.int32()), pa.array(probed, pa.list_(pa.int32())), pa.array(payload, pa.binary())],
-                    ["cell", "block", "key", "base_list", "probed", "payload"],
-                )
+                some = [payloads[i] for i in kept]
+                for view, ix, n_probe, offset in zip(held.views, held.indexes, held.probes, held.first_cell.tolist(), strict=False):
+                    lists = ix.probes(held.unit(view(some))[0], n_probe)
+                    rows: list[tuple] = []
+                    for r, i in enumerate(kept):
+                        own = int(ix.cell_of[lists[r, 0]])
+                        reached: dict[int, list[int]] = {own: []}
+                        if asked[i]:
+                            for one in lists[r].tolist():
+                                reached.setdefault(int(ix.cell_of[one]), []).append(one)
+                        for cell, probed in reached.items():
+                            # a grid of blocks: rows by line, seekers by column; a vector of both meets itself in one place
+                            n = int(ix.blocks[cell])
+                            at = xxhash.xxh32_intdigest(payloads[i]) % n
+                            places = {(at, j) for j in range(n)} if cell == own else set()
+                            if probed:
+                                places |= {(j, at) for j in range(n)}
+                            for line, column in sorted(places):
+                                base = cell == own and line == at
+                                rows.append((offset + cell, line * n + column, keys[i], int(lists[r, 0]) if base else -1, probed if column == at else [], payloads[i]))
+                    cell, block, key, base, probed, payload = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(key, b.column(0).type), pa.array(base, pa.int32()), pa.array(probed, pa.list_(pa.int32())), pa.array(payload, pa.binary())],
+                        ["cell", "block", "key", "base_list", "probed", "payload"],
+                    )
 
     def search(group: pa.Table) -> pa.Table:
-        ix = shared.value
+        held = shared.value
+        file = int(np.searchsorted(held.first_cell, group.column("cell")[0].as_py(), "right")) - 1
+        ix = held.indexes[file]
         keys, base_list, probed, payloads = (group.column(c).to_pylist() for c in ("key", "base_list", "probed", "payload"))
         # copies and repeated deliveries meet here: the smallest key stands for them
         rows: dict[bytes, int] = {}
@@ -371,63 +460,57 @@ def similar_vectors(
         rank_of = np.empty(len(unit), np.int64)
         rank_of[sorted(range(len(unit)), key=unit.__getitem__)] = np.arange(len(unit))
         kt = group.schema.field("key").type
-        if rerank is None:
-            return everything(names, unit, rank_of, wants, bases, kt)
-        x, exact = kind.sketch(names), kind.exact(names)
-        in_list: dict[int, list[int]] = {}
-        asks: dict[int, list[int]] = {}
-        for i, p in enumerate(names):
-            if p in bases:
-                in_list.setdefault(bases[p], []).append(i)
-            for one in wants.get(p, ()):
-                asks.setdefault(one, []).append(i)
-        who, whom, sims = [], [], []
-        for one, members in in_list.items():
-            if one not in asks:
+        x, norm = held.unit(held.views[file](names))
+        exact = kind.exact(names)
+        # rows by list, and what each seeker asks of each list, seekers in portions of bounded work
+        of = np.array([bases.get(p, -1) for p in names])
+        by_list = np.argsort(of, kind="stable")
+        base_start = np.searchsorted(of[by_list], np.arange(len(ix.centroids) + 1))
+        ask_who = np.repeat(np.arange(len(names)), [len(wants.get(p, ())) for p in names])
+        ask_list = np.array([one for p in names for one in wants.get(p, ())], np.int64)
+        met = np.diff(base_start)[ask_list] if len(ask_list) else np.zeros(0, np.int64)
+        portion = np.cumsum(met) // 4_000_000
+        portion = np.maximum.accumulate(portion[np.searchsorted(ask_who, ask_who)]) if len(met) else portion
+        codes = np.zeros((len(names), len(ix.books)), np.uint8)
+        held_here = np.flatnonzero(of >= 0)
+        codes[held_here] = ix.encode(x[held_here], of[held_here])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for one in np.unique(portion).tolist():
+            asks = np.flatnonzero(portion == one)
+            asks = asks[np.argsort(ask_list[asks], kind="stable")]
+            lists, first = np.unique(ask_list[asks], return_index=True)
+            who, whom, scores = [], [], []
+            for a, z, which in zip(first.tolist(), [*first[1:].tolist(), len(asks)], lists.tolist(), strict=True):
+                base = by_list[base_start[which] : base_start[which + 1]]
+                if not len(base):
+                    continue
+                for s in range(a, z, 1000):
+                    q = ask_who[asks[s : min(s + 1000, z)]]
+                    score = ix.approximate(x[q], ix.tables(x[q]), codes[base], which) * norm[base][None]
+                    score[q[:, None] == base[None]] = -np.inf
+                    if len(base) > rerank:
+                        bar = -np.partition(-score, rerank - 1, axis=1)[:, rerank - 1 : rerank]
+                        score[score < bar] = -np.inf
+                    i, j = np.nonzero(score > -np.inf)
+                    who.append(q[i])
+                    whom.append(base[j])
+                    scores.append(score[i, j])
+            if not who:
                 continue
-            base, seekers = np.array(members), np.array(asks[one])
-            codes = ix.encode(x[base], np.full(len(base), one))
-            for s in range(0, len(seekers), 1000):
-                q = seekers[s : s + 1000]
-                tables = ix.tables(x[q])
-                score = ix.approximate(x[q], tables, np.arange(len(q)), codes, one)
-                score[q[:, None] == base[None]] = -np.inf
-                if len(base) > rerank:
-                    bar = -np.partition(-score, rerank - 1, axis=1)[:, rerank - 1 : rerank]
-                    score[score < bar] = -np.inf
-                a, b = np.nonzero(score >= (min_similarity - slack if min_similarity is not None else -2.0))
-                who.append(q[a])
-                whom.append(base[b])
-        if who:
-            a, b = np.concatenate(who), np.concatenate(whom)
+            a, b, score = np.concatenate(who), np.concatenate(whom), np.concatenate(scores).astype(np.float64)
+            # the best of all lists of the cell
+            order = np.argsort(a * 8.0 - score, kind="stable")
+            a, b = a[order], b[order]
+            best = np.arange(len(a)) - np.searchsorted(a, a) < rerank
+            a, b = a[best], b[best]
             sims = np.round(exact(a, b), 6)
-            good = sims >= (min_similarity - 1e-6 if min_similarity is not None else -2.0)
-            a, b, sims = a[good], b[good], sims[good]
             order = np.lexsort((rank_of[b], -sims, a))
             a, b, sims = a[order], b[order], sims[order]
-            first = np.searchsorted(a, a)
-            best = np.arange(len(a)) - first < k
-            a, b, sims = a[best], b[best], sims[best]
-        else:
-            a = b = np.zeros(0, int)
-            sims = np.zeros(0)
+            best = np.arange(len(a)) - np.searchsorted(a, a) < k
+            found.append((a[best], b[best], sims[best]))
+        a, b, sims = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         return pa.table({"rep": pa.array([unit[i] for i in a], kt), "other": pa.array([unit[i] for i in b], kt), "similarity": pa.array(np.asarray(sims, float))})
 
-    def everything(names, unit, rank_of, wants, bases, kt) -> pa.Table:
-        scores = kind.rows(names)
-        of = np.array([bases.get(p, -1) for p in names])
-        rep, other, sims = [], [], []
-        for i, p in enumerate(names):
-            if p in wants:
-                near = np.flatnonzero(np.isin(of, wants[p]) & (np.arange(len(names)) != i))
-                s = np.round(scores(i)[near], 6)
-                for j in np.lexsort((rank_of[near], -s))[:k]:
-                    if min_similarity is None or s[j] >= min_similarity - 1e-6:
-                        rep.append(unit[i])
-                        other.append(unit[near[j]])
-                        sims.append(s[j])
-        return pa.table({"rep": pa.array(rep, kt), "other": pa.array(other, kt), "similarity": pa.array(sims, pa.float64())})
-
     if queries:
         # a class of copies is sent as one row, under its smallest key, if any of its records is asked
         vector_type = dict(source.dtypes)["v"]

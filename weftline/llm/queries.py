@@ -76,14 +76,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_scores(spark, sf_dir).where(kept).select("id", "term")
 
 
-#: Table, column, kind, similarity of p4_found, probes and rows of a list.
-_SPACES = (("image_train", "deep_features", ann.Dense(96), 0.9, 4, 256), ("people_wiki", "tfidf", ann.Sparse(), 0.5, 8, 32))
+#: Table, column and kind of p4; the similarity, inverted files and rows of a list of p4_found; files and rows of a list of p4_search.
+_SPACES = (
+    ("image_train", "deep_features", ann.Dense(96), 0.9, (("plain", 3), ("plain", 2)), 128, (("plain", 0.09), ("plain", 0.09)), 16),
+    ("people_wiki", "tfidf", ann.Sparse(), 0.5, (("signs", 8), ("signs", 6)), 32, (("learned", 0.16), ("signs", 4)), 128),
+)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the 5 nearest that are similar enough; near twins stand in the nearest lists."""
     parts = []
-    for tbl, column, kind, least, probes, rows in _SPACES:
-        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, n_probe=probes, list_rows=rows, min_similarity=least)
+    for tbl, column, kind, least, files, rows, *_ in _SPACES:
+        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, files=files, list_rows=rows, rerank=24)
         pair = near.where(F.col("similarity") >= least - 1e-6).select(F.lit(tbl).alias("tbl"), F.least("key", "neighbour").alias("id_a"), F.greatest("key", "neighbour").alias("id_b"))
         parts.append(pair.distinct())
     return parts[0].unionByName(parts[1])
@@ -92,10 +96,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar records, however similar, of every record whose id is divisible by 100."""
     parts = []
-    for tbl, column, kind, *_ in _SPACES:
-        # a third of the lists for dense vectors, however many there are; people without a twin have neighbours of similarity 0.1, which any list may hold
-        wide = {"n_probe": 1 / 3, "list_rows": 64} if isinstance(kind, ann.Dense) else {"n_probe": 8192, "list_rows": 64, "rerank": None}
-        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, queries="id % 100 = 0", **wide)
+    for tbl, column, kind, *_, files, rows in _SPACES:
+        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, files=files, list_rows=rows, rerank=768, queries="id % 100 = 0")
         parts.append(near.select(F.lit(tbl).alias("tbl"), "*"))
     return parts[0].unionByName(parts[1])
 
