@@ -18,6 +18,7 @@ from weftline.operators import linalg as LA
 from weftline.operators import ranking as K
 from weftline.operators import relational as R
 from weftline.operators import sampling as S
+from weftline.plans import statements as Q
 from weftline.plans._query import Book
 
 BOOK = Book()
@@ -46,17 +47,17 @@ def _(t):
     return S.balanced(rows, "loan_id", "safe_loans").groupBy("safe_loans").agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.add("smp_rows")
+@BOOK.add("smp_rows", f"SELECT p_partkey FROM part ORDER BY {_DRAW.format(k='p_partkey', s=4)}, p_partkey LIMIT 50")
 def _(t):
     return S.sample_rows(t("part").select("p_partkey"), "p_partkey", 50, 4)
 
 
-@BOOK.add("smp_weighted")
+@BOOK.add("smp_weighted", f"SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 0 ORDER BY round(-ln(({_DRAW.format(k='p_partkey', s=4)} + 1) / 1000001.0::DOUBLE) / p_retailprice, 15), p_partkey LIMIT 40")
 def _(t):
     return S.weighted_choice(t("part").select("p_partkey", "p_retailprice"), "p_partkey", "p_retailprice", 40, 4)
 
 
-@BOOK.add("smp_with_replacement")
+@BOOK.add("smp_with_replacement", f"SELECT c_custkey FROM (SELECT c_custkey, unnest(range(len(list_filter({S.POISSON_STEPS}::DOUBLE[], lambda e: u >= e)))) FROM (SELECT c_custkey, {_DRAW.format(k='c_custkey', s=2)} / 1000000.0::DOUBLE AS u FROM customer))")
 def _(t):
     return S.resample(t("customer").select("c_custkey"), "c_custkey", 2)
 
@@ -125,7 +126,12 @@ def _one(t, m: LR.Moments, w):
 _ONE_FEATURE = "WITH f AS (SELECT regr_slope(ozone, temp) AS b, regr_intercept(ozone, temp) AS a FROM hw1_data WHERE ozone BETWEEN 1 AND 400 AND temp IS NOT NULL) SELECT '(intercept)' AS name, round(a, 4) AS value FROM f UNION ALL SELECT 'temp', round(b, 4) FROM f"
 
 
-@BOOK.add("reg_multiple")
+_AIR = ["temp", "wind", "solar_r"]
+_AIR_ROWS = "FROM hw1_data WHERE ozone BETWEEN 1 AND 400 AND temp IS NOT NULL AND wind IS NOT NULL AND solar_r IS NOT NULL"
+_AIR_SQL = f"m AS (SELECT {Q.moment_sums(_AIR, 'ozone')} {_AIR_ROWS})"
+
+
+@BOOK.add("reg_multiple", f"WITH {_AIR_SQL}, {Q.solved('w', 'm', 4)} {Q.listed(_AIR, 'w', 4)}")
 def _(t):
     m = _air(t)
     return _one(t, m, m.least_squares())
@@ -148,25 +154,37 @@ def _(t):
     return _one(t, m, m.gradient_descent(np.zeros(2), 0.4 / np.linalg.eigvalsh(m.xx)[-1], 1e-7 * m.n))
 
 
-@BOOK.add("reg_ridge")
+@BOOK.add("reg_ridge", f"WITH {_AIR_SQL}, {Q.solved('w', 'm', 4, l2='1000.0')} {Q.listed(_AIR, 'w', 4)}")
 def _(t):
     m = _air(t)
     return _one(t, m, m.least_squares(l2=1000.0))
 
 
-@BOOK.add("reg_ridge_descent")
+@BOOK.add("reg_ridge_descent", f"WITH RECURSIVE {_AIR_SQL}, {Q.ridge_descent(4, '0.45 / (m.x0_0 + m.x1_1 + m.x2_2 + m.x3_3)', 100.0, 2000)} {Q.listed(_AIR, '(SELECT * FROM w WHERE t = 2000)', 4)}")
 def _(t):
+    """2000 steps; the trace of X'X bounds its largest eigenvalue, so the step cannot diverge."""
     m = _air(t)
-    return _one(t, m, m.ridge_descent(np.zeros(4), 0.9 / np.linalg.eigvalsh(m.xx)[-1] / 2, 100.0, 2000))
+    return _one(t, m, m.ridge_descent(np.zeros(4), 0.45 / np.trace(m.xx), 100.0, 2000))
 
 
-@BOOK.add("reg_lasso")
+@BOOK.add("reg_lasso", f"WITH RECURSIVE {_AIR_SQL}, penalty AS (SELECT 500.0::DOUBLE AS l1), {Q.lasso('w', 'm', 'penalty', 4, 1e-9)} {Q.listed(_AIR, 'w', 4)}")
 def _(t):
     m = _air(t)
     return _one(t, m, m.lasso(np.zeros(4), 500.0, 1e-9))
 
 
-@BOOK.add("reg_lasso_search")
+_SPLIT = f"CASE WHEN {_DRAW.format(k='obs_id', s=0)} < {{cut}} THEN 'train' ELSE 'valid' END"
+_NONZERO = " + ".join(f"(abs(w{i}) > 1e-9)::INT" for i in range(4))
+
+
+@BOOK.add(
+    "reg_lasso_search",
+    f"""WITH RECURSIVE parts AS (SELECT {_SPLIT.format(cut=800000)} AS part, * {_AIR_ROWS}), a AS (SELECT {Q.moment_sums(_AIR, 'ozone')} FROM parts WHERE part = 'train'), b AS (SELECT {Q.moment_sums(_AIR, 'ozone')} FROM parts WHERE part = 'valid'),
+wide AS (SELECT pow(10, i / 4.0::DOUBLE)::DOUBLE AS l1 FROM range(25) r(i)), {Q.lasso('f', 'a', 'wide', 4, 1e-6)}, sized AS (SELECT l1, {_NONZERO} AS k FROM f),
+span AS (SELECT coalesce(max(l1) FILTER (k > 2), min(l1)) AS low, coalesce(min(l1) FILTER (k < 2), max(l1)) AS high FROM sized),
+fine AS (SELECT low + (high - low) / 19.0 * i AS l1 FROM span, range(20) r(i)), {Q.lasso('g', 'a', 'fine', 4, 1e-6)},
+best AS (SELECT g.* FROM g, b WHERE {_NONZERO} = 2 ORDER BY {Q.rss('b', 'g', 4)}, l1 LIMIT 1) {Q.listed(_AIR, 'best', 4, more=', round(l1, 2) AS penalty')}""",
+)
 def _(t):
     """Penalty at which just two weights are non-zero, by validation error."""
     train, valid = S.split(t("hw1_data").where("ozone between 1 and 400"), "obs_id", 0.8)
@@ -176,7 +194,16 @@ def _(t):
     return _one(t, a, w).withColumn("penalty", F.lit(round(penalty, 2)))
 
 
-@BOOK.add("reg_cross_validation")
+_TOTALS = ", ".join(f"sum(f.{c}) - any_value(h.{c}) AS {c}" for c in Q.names(3))
+
+
+@BOOK.add(
+    "reg_cross_validation",
+    f"""WITH r AS (SELECT * FROM hw1_data WHERE ozone BETWEEN 1 AND 400 AND obs_id IS NOT NULL AND temp IS NOT NULL AND wind IS NOT NULL), n AS (SELECT *, floor((row_number() OVER (ORDER BY obs_id) * 5 - 1) / (SELECT count(*) FROM r))::INT AS fold FROM r),
+f AS (SELECT fold, {Q.moment_sums(['temp', 'wind'], 'ozone')} FROM n GROUP BY fold), rest AS (SELECT h.fold AS held, {_TOTALS} FROM f h, f GROUP BY h.fold),
+grid AS (SELECT * FROM rest, (SELECT unnest([0.0, 10.0, 1000.0, 100000.0]::DOUBLE[]) AS l2)), {Q.solved('w', 'grid', 3, ('held', 'l2'), 'l2')},
+scored AS (SELECT l2, avg({Q.rss('h', 'w', 3)}) AS rss FROM w JOIN f h ON h.fold = w.held GROUP BY l2) SELECT l2, round(rss, 2) AS rss, l2 = (SELECT l2 FROM scored ORDER BY rss, l2 LIMIT 1) AS best FROM scored""",
+)
 def _(t):
     """Mean held-out RSS for each ridge penalty, from one pass of moments by fold."""
     rows = t("hw1_data").where("ozone between 1 and 400").select("obs_id", "ozone", "temp", "wind").na.drop()
@@ -186,7 +213,15 @@ def _(t):
     return rows.sparkSession.createDataFrame([(a, round(b, 2), a == best) for a, b in scores], "l2 double, rss double, best boolean")
 
 
-@BOOK.add("reg_polynomial_choice")
+_POWERS = [f"power_{i}" for i in range(1, 7)]
+
+
+@BOOK.add(
+    "reg_polynomial_choice",
+    f"""WITH parts AS (SELECT {_SPLIT.format(cut=700000)} AS part, ozone, {', '.join(f'pow(temp / 100.0::DOUBLE, {i}) AS power_{i}' for i in range(1, 7))} FROM hw1_data WHERE ozone BETWEEN 1 AND 400 AND temp IS NOT NULL),
+a AS (SELECT {Q.moment_sums(_POWERS, 'ozone')} FROM parts WHERE part = 'train'), b AS (SELECT {Q.moment_sums(_POWERS, 'ozone')} FROM parts WHERE part = 'valid'),
+{', '.join(Q.solved(f'w{d}', 'a', d + 1) for d in range(1, 7))} SELECT degree::INT AS degree FROM ({' UNION ALL '.join(f"SELECT {d} AS degree, {Q.rss('b', f'w{d}', d + 1)} AS rss FROM w{d}, b" for d in range(1, 7))}) ORDER BY rss LIMIT 1""",
+)
 def _(t):
     """Degree of least validation error among 1..6."""
     scaled = t("hw1_data").where("ozone between 1 and 400 and temp is not null").select("obs_id", "ozone", (F.col("temp") / 100).alias("x"))
@@ -266,14 +301,19 @@ def _(t):
     return NN.hashed_search(rows, rows.where("vec_id % 100 = 0"), "vec_id", "e", np.round(_PLANES, 12), 2, 10).select("query_label", "reference_label", "rank", "candidates")
 
 
-@BOOK.add("lsh_quality")
+@BOOK.add(
+    "lsh_quality",
+    f"""WITH b AS (SELECT vec_id, embedding::DOUBLE[] AS e, ({_BIN_SQL})::BIGINT AS bin FROM embeddings), d AS (SELECT q.vec_id AS query_label, r.vec_id AS reference_label, round(1 - list_cosine_similarity(q.e, r.e), 9) AS distance, bit_count(xor(q.bin, r.bin)) <= 3 AS met FROM b q, b r WHERE q.vec_id % 100 = 0),
+truth AS (SELECT query_label, reference_label FROM (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY distance, reference_label) AS k FROM d) WHERE k <= 25), found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY distance, reference_label) AS k FROM d WHERE met) WHERE k <= 11 AND query_label <> reference_label)
+SELECT f.query_label, round(count(t.reference_label) / 10, 6) AS precision, round(avg(distance), 6) AS mean_distance, round(min(distance), 6) AS min_distance, round(max(distance), 6) AS max_distance FROM found f LEFT JOIN truth t USING (query_label, reference_label) GROUP BY 1""",
+)
 def _(t):
     """Precision of the hashed search against the true 25 nearest."""
     rows = _vectors(t)
     queries = rows.where("vec_id % 100 = 0")
-    found = NN.hashed_search(rows, queries, "vec_id", "e", _PLANES, 3, 11)
+    found = NN.hashed_search(rows, queries, "vec_id", "e", np.round(_PLANES, 12), 3, 11)
     truth = NN.brute_force(rows, queries, "vec_id", "e", 25, metric="cosine")
-    return NN.search_quality(found, truth, 10)
+    return NN.search_quality(found, truth, 10).select("query_label", *(F.round(c, 6).alias(c) for c in ("precision", "mean_distance", "min_distance", "max_distance")))
 
 
 # --- clustering
@@ -304,11 +344,76 @@ def _(t):
     return KM.bisect_clusters(_vectors(t), "vec_id", "e", 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@BOOK.add("clu_describe")
+@BOOK.add(
+    "clu_describe",
+    "WITH p AS (SELECT DISTINCT ON (id) id, CASE WHEN name IS NULL OR trim(name) = '' THEN '?' ELSE upper(substr(trim(name), 1, 1)) END AS cluster, tfidf FROM people_wiki WHERE tfidf IS NOT NULL), n AS (SELECT cluster, count(*) AS size FROM p GROUP BY 1), w AS (SELECT cluster, e.key AS term, round(sum(e.value) / any_value(size), 9) AS weight FROM (SELECT cluster, unnest(map_entries(tfidf)) AS e FROM p) JOIN n USING (cluster) GROUP BY 1, 2) SELECT cluster, term, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term)::INT AS rank FROM w) WHERE rank <= 5",
+)
+def _(t):
+    """Heaviest terms of the people by their first letter."""
+    name = F.trim("name")
+    first = F.when(name.isNull() | (name == ""), "?").otherwise(F.upper(F.substring(name, 1, 1)))
+    rows = t("people_wiki").where("tfidf is not null").dropDuplicates(["id"]).select(first.alias("cluster"), "tfidf")
+    return KM.describe(rows, "cluster", "weight", "tfidf", 5).select("cluster", "term", F.round("weight", 6).alias("weight"), "rank")
+
+
+def _lloyd_sql(steps: int) -> str:
+    out = ["c0 AS (SELECT vec_id AS k, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 4)", "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"]
+    for i in range(steps):
+        out.append(f"d{i} AS (SELECT vec_id, e, k, pow(list_distance(e, c), 2) AS d FROM v, c{i})")
+        out.append(f"a{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS r FROM d{i}) WHERE r = 1)")
+        out.append(f"c{i + 1} AS (SELECT k, list(x ORDER BY j) AS c FROM (SELECT k, j, avg(e[j]) AS x FROM a{i}, (SELECT unnest(range(1, 65)) AS j) GROUP BY k, j) GROUP BY k)")
+    return f"WITH {', '.join(out)} SELECT k::INT AS cluster, count(*) AS n, round((SELECT sum(d) FROM a{steps - 1}), 3) AS heterogeneity FROM a{steps - 1} GROUP BY k"
+
+
+@BOOK.add("clu_lloyd", _lloyd_sql(4))
 def _(t):
-    """Heaviest terms of the groups that a first-letter rule makes of people."""
-    rows = t("people_wiki").where("tfidf is not null").select((F.col("id") % 4).alias("cluster"), "tfidf")
-    return KM.describe(rows, "cluster", "weight", "tfidf", 5)
+    """Sizes and heterogeneity after three steps from four given centroids."""
+    rows = _vectors(t)
+    seeds = np.array([r.e for r in rows.where("vec_id < 4").orderBy("vec_id").collect()])
+    model = KM.lloyd(rows, "e", seeds, 3)
+    part = KM.assign(rows, "e", model.centroids)
+    whole = part.agg(F.round(F.sum("squared_distance"), 3).alias("heterogeneity"))
+    return part.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(whole))
+
+
+@BOOK.add("clu_k_sweep")
+def _(t):
+    """Heterogeneity and largest cluster for growing numbers of clusters; must fall as they grow."""
+    rows = _vectors(t)
+    out = []
+    for k in (2, 5, 10):
+        best = KM.restarts(rows, "e", k, [1, 2], 20)
+        sizes = KM.assign(rows, "e", best.centroids).groupBy("cluster").count().agg(F.max("count")).first()[0]
+        out.append((k, round(best.heterogeneity, 3), sizes))
+    return rows.sparkSession.createDataFrame(out, "k int, heterogeneity double, largest long")
+
+
+_COLOURS = [[0.2, 0.3, 0.4], [0.6, 0.5, 0.4], [0.8, 0.8, 0.7]]
+_EM_SQL = f"""p AS (SELECT DISTINCT ON (id) id, [red, green, blue]::DOUBLE[] AS x FROM images WHERE red IS NOT NULL AND green IS NOT NULL AND blue IS NOT NULL AND NOT isnan(red) AND NOT isnan(green) AND NOT isnan(blue)),
+c AS (SELECT unnest(range(3))::INT AS component, unnest({_COLOURS}::DOUBLE[][]) AS mu), z AS (SELECT id, x, component, ln(1 / 3.0::DOUBLE) - 0.5 * (pow(list_distance(x, mu), 2) / 0.05 + 3 * ln(0.05::DOUBLE) + 3 * ln(2 * pi())) AS z FROM p, c),
+r AS (SELECT *, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY id) AS r, top + ln(sum(exp(z - top)) OVER (PARTITION BY id)) AS l FROM (SELECT *, max(z) OVER (PARTITION BY id) AS top FROM z))"""
+
+
+def _colours(t):
+    return t("images").dropDuplicates(["id"]).select("id", F.array("red", "green", "blue").alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
+@BOOK.add("clu_em_step", f"WITH {_EM_SQL} SELECT component, round(sum(r) / (SELECT count(*) FROM p), 6) AS weight, round(sum(r * x[1]) / sum(r), 6) AS red, round(sum(r * x[2]) / sum(r), 6) AS green, round(sum(r * x[3]) / sum(r), 6) AS blue, round(sum(r * x[1] * x[2]) / sum(r) - sum(r * x[1]) * sum(r * x[2]) / pow(sum(r), 2), 6) AS red_green, round((SELECT sum(l) FROM r WHERE component = 0), 3) AS log_likelihood FROM r GROUP BY component")
+def _(t):
+    """One step of expectation maximisation from a given mixture, and the likelihood of that mixture."""
+    rows, mu = _colours(t), np.array(_COLOURS)
+    m = GM.fit(rows, "x", mu, np.stack([np.eye(3) * 0.05] * 3), max_iterations=1)
+    like = GM.log_likelihood(rows, "x", GM.Mixture(np.full(3, 1 / 3), mu, np.stack([np.eye(3) * 0.05] * 3), []))
+    out = [(i, *(round(float(v), 6) for v in (m.weights[i], *m.means[i], m.covariances[i][0, 1])), round(like, 3)) for i in range(3)]
+    return rows.sparkSession.createDataFrame(out, "component int, weight double, red double, green double, blue double, red_green double, log_likelihood double")
+
+
+@BOOK.add("clu_posterior", f"WITH {_EM_SQL} SELECT component, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY round(r, 9) DESC, id)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r DESC, component) AS best FROM r) WHERE best = 1) WHERE rank <= 5")
+def _(t):
+    """The surest members of each component of a given mixture."""
+    rows = _colours(t)
+    m = GM.Mixture(np.full(3, 1 / 3), np.array(_COLOURS), np.stack([np.eye(3) * 0.05] * 3), [])
+    return GM.top_members(GM.responsibilities(rows, "id", "x", m), "id", 5).select("component", "id", "rank")
 
 
 @BOOK.add("clu_mixture")
@@ -370,7 +475,10 @@ def _loans(t):
 _LOANS_SQL = "WITH r AS (SELECT safe_loans AS y, short_emp, (upper(trim(grade)) IN ('D', 'E', 'F', 'G'))::INT AS grade_low, (upper(trim(home_ownership)) = 'OWN')::INT AS own_home, (trim(term) LIKE '60%')::INT AS long_term FROM lending_club_data WHERE safe_loans IS NOT NULL AND grade IS NOT NULL AND term IS NOT NULL AND home_ownership IS NOT NULL AND short_emp IS NOT NULL)"
 
 
-@BOOK.add("cls_stump")
+_NODES = 'SELECT node::INT AS node, depth::INT AS depth, feature, "left"::INT AS "left", "right"::INT AS "right", prediction::INT AS prediction FROM t'
+
+
+@BOOK.add("cls_stump", f"{_LOANS_SQL}, {Q.tree('t', 'r', _LOANS, 1)} {_NODES}")
 def _(t):
     """The best single split; see cls_feature_mistakes for the mistakes of all."""
     rows = TR.grouped_rows(_loans(t), _LOANS, "safe_loans")
@@ -386,29 +494,41 @@ def _(t):
     return rows.select(F.inline("a"))
 
 
-@BOOK.add("cls_tree")
+@BOOK.add("cls_tree", f"{_LOANS_SQL}, {Q.tree('t', 'r', _LOANS, 4)} {_NODES}")
 def _(t):
     tree = TR.build(TR.grouped_rows(_loans(t), _LOANS, "safe_loans"), _LOANS, max_depth=4)
     return TR.node_table(t("region"), tree)
 
 
-@BOOK.add("cls_tree_error")
+@BOOK.add(
+    "cls_tree_error",
+    f"{_LOANS_SQL}, {Q.tree('a', 'r', _LOANS, 1)}, {Q.tree('b', 'r', _LOANS, 4)}, {Q.tree('c', 'r', _LOANS, 4, 100, 0.0)} "
+    + " UNION ALL ".join(f"SELECT '{n}' AS tree, round(sum(m) / (SELECT count(*) FROM r), 8) AS error, count(m)::INT AS leaves FROM {t}" for n, t in (("depth 1", "a"), ("depth 4", "b"), ("early", "c"))),
+)
 def _(t):
     """Error of trees of growing depth, and of one stopped early."""
     loans = _loans(t)
     rows = TR.grouped_rows(loans, _LOANS, "safe_loans")
     out = None
     for name, tree in (("depth 1", TR.build(rows, _LOANS, 1)), ("depth 4", TR.build(rows, _LOANS, 4)), ("early", TR.build(rows, _LOANS, 4, min_node_size=100, min_error_reduction=0.0))):
-        e = TR.error_rate(loans, tree, "safe_loans").select(F.lit(name).alias("tree"), "error", F.lit(TR.count_leaves(tree)).alias("leaves"))
+        e = TR.error_rate(loans, tree, "safe_loans").select(F.lit(name).alias("tree"), F.round("error", 8).alias("error"), F.lit(TR.count_leaves(tree)).alias("leaves"))
         out = e if out is None else out.unionByName(e)
     return out
 
 
-@BOOK.add("cls_boosted_stumps")
+@BOOK.add("cls_boosted_stumps", f"{_LOANS_SQL}, {Q.boosting('b', 'r', _LOANS, 5)} SELECT round(error, 8) AS error, 5 AS stumps FROM b WHERE stage = 5")
 def _(t):
     loans = _loans(t)
     stumps = TR.boost(TR.grouped_rows(loans, _LOANS, "safe_loans"), _LOANS, 5)
-    return loans.agg(F.avg((TR.boosted_class(stumps) != F.col("safe_loans")).cast("double")).alias("error"), F.lit(len(stumps)).alias("stumps"))
+    return loans.agg(F.round(F.avg((TR.boosted_class(stumps) != F.col("safe_loans")).cast("double")), 8).alias("error"), F.lit(len(stumps)).alias("stumps"))
+
+
+@BOOK.add("cls_boosting_stages", f"{_LOANS_SQL}, {Q.boosting('b', 'r', _LOANS, 12)} SELECT stage::INT AS stage, round(error, 8) AS error FROM b")
+def _(t):
+    """Error after each of the first stumps, one pass for all stages."""
+    loans = _loans(t)
+    stumps = TR.boost(TR.grouped_rows(loans, _LOANS, "safe_loans"), _LOANS, 12)
+    return TR.staged_errors(loans, stumps, "safe_loans").select("stage", F.round("error", 8).alias("error"))
 
 
 @BOOK.add("cls_library_trees")
@@ -444,7 +564,14 @@ def _(t):
     return _sentiment(t).groupBy("sentiment").agg(*(F.sum(w).alias(w) for w in _SENTIMENT))
 
 
-@BOOK.add("cls_logistic")
+_SENTIMENT_SQL = "g AS (SELECT " + ", ".join(f"len(list_filter(w, lambda x: x = '{w}'))::DOUBLE AS {w}" for w in _SENTIMENT) + r", (rating >= 4)::INT::DOUBLE AS y, count(*)::DOUBLE AS c FROM (SELECT rating, list_filter(string_split_regex(lower(coalesce(review, '')), '[^\p{L}\p{N}_]+'), lambda t: t <> '') AS w FROM amazon_baby WHERE rating IS NOT NULL AND rating <> 3) GROUP BY ALL)"
+
+
+def _weights_sql(source: str, more: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT {more}'{f}' AS name, round(w[{i + 1}], 6) AS value FROM {source}" for i, f in enumerate(["(intercept)", *_SENTIMENT]))
+
+
+@BOOK.add("cls_logistic", f"WITH RECURSIVE {_SENTIMENT_SQL}, {Q.logistic('s', 'g', _SENTIMENT, 25, [0.0])} SELECT *, true AS improved FROM ({_weights_sql('(SELECT * FROM s WHERE t = 25)')})")
 def _(t):
     rows = _sentiment(t)
     n = rows.count() or 1
@@ -453,7 +580,7 @@ def _(t):
     return out.select("name", F.round("value", 6).alias("value"), F.lit(trace[-1] > trace[0]).alias("improved"))
 
 
-@BOOK.add("cls_logistic_l2")
+@BOOK.add("cls_logistic_l2", f"WITH RECURSIVE {_SENTIMENT_SQL}, {Q.logistic('s', 'g', _SENTIMENT, 15, [0.0, 4.0, 100.0])} {_weights_sql('(SELECT * FROM s WHERE t = 15)', 'l2, ')}")
 def _(t):
     """Coefficients along growing penalties."""
     rows = _sentiment(t)
@@ -512,9 +639,9 @@ def _(t):
     return C.threshold_sweep(_scored(t), "y", "p", _GRID).where("precision > 0.8").agg(F.min("threshold").alias("threshold"))
 
 
-@BOOK.add("eval_roc")
+@BOOK.add("eval_roc", f"{_SCORED} SELECT t AS threshold, round(count_if(p >= t AND y = 1) / count_if(y = 1), 8) AS tpr, round(count_if(p >= t AND y <> 1) / count_if(y <> 1), 8) AS fpr FROM r, (SELECT i / 50.0::DOUBLE AS t FROM range(51) x(i)) GROUP BY 1")
 def _(t):
-    return C.roc_curve(_scored(t), "y", "p", 50)
+    return C.roc_curve(_scored(t), "y", "p", 50).select("threshold", F.round("tpr", 8).alias("tpr"), F.round("fpr", 8).alias("fpr"))
 
 
 @BOOK.add("eval_cost", f"{_SCORED} SELECT sum(CASE WHEN y > 0 AND yhat <= 0 THEN 10000.0 WHEN y <= 0 AND yhat > 0 THEN 20000.0 ELSE 0.0 END)::DOUBLE AS cost FROM r")
@@ -557,23 +684,39 @@ def _(t):
     return RC.similar_items(RC.item_similarity(_pairs(t), "user", "item"), 3).select("item", "other", "rank")
 
 
-@BOOK.add("rec_personal")
+def _personal_sql(had: str, sim: str, k: int) -> str:
+    """The k new items of greatest mean similarity, for each user of ``had``."""
+    both = f"(SELECT item_a AS item, item_b AS other, similarity FROM {sim} UNION ALL SELECT item_b, item_a, similarity FROM {sim})"
+    offers = f'SELECT o."user", o.other AS item, round(o.s / n.n, 12) AS score FROM (SELECT {had}."user", b.other, sum(b.similarity) AS s FROM {had} JOIN {both} b ON b.item = {had}.item GROUP BY 1, 2) o JOIN (SELECT "user", count(*) AS n FROM {had} GROUP BY 1) n USING ("user") WHERE NOT EXISTS (SELECT 1 FROM {had} x WHERE x."user" = o."user" AND x.item = o.other)'
+    return f'SELECT "user", item, rank FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item)::INT AS rank FROM ({offers})) WHERE rank <= {k}'
+
+
+@BOOK.add("rec_personal", f"{_SIM_SQL} {_personal_sql('h', 'j', 3)}")
 def _(t):
     pairs = _pairs(t)
     return RC.recommend_similar(pairs, RC.item_similarity(pairs, "user", "item"), "user", "item", 3).select("user", "item", "rank")
 
 
-@BOOK.add("rec_compare")
+_COMPARE_SQL = f"""WITH p AS (SELECT DISTINCT o_custkey AS "user", l_suppkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey), k AS (SELECT *, {_DRAW.format(k='("user" * 1000003 + item)', s=0)} < 800000 AS train FROM p),
+h AS (SELECT "user", item FROM k WHERE train), held AS (SELECT "user", item FROM k WHERE NOT train AND {_DRAW.format(k='"user"', s=0)} < 150000), c AS (SELECT item, count(*) AS users FROM h GROUP BY 1),
+s AS (SELECT a.item AS item_a, b.item AS item_b, count(*) AS shared FROM h a JOIN h b ON a."user" = b."user" AND a.item < b.item GROUP BY 1, 2), j AS (SELECT item_a, item_b, shared / (x.users + y.users - shared) AS similarity FROM s JOIN c x ON x.item = item_a JOIN c y ON y.item = item_b),
+popular AS (SELECT "user", item, rank FROM (SELECT u."user", c.item, row_number() OVER (PARTITION BY u."user" ORDER BY users DESC, c.item) AS rank FROM (SELECT DISTINCT "user" FROM h) u, c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h."user" = u."user" AND h.item = c.item)) WHERE rank <= 5),
+personal AS ({_personal_sql('h', 'j', 5)}), found AS (SELECT 'popularity' AS model, * FROM popular UNION ALL SELECT 'item similarity', * FROM personal),
+hit AS (SELECT f.model, f.rank, count(*) AS n, count(held.item) AS h FROM found f LEFT JOIN held ON held."user" = f."user" AND held.item = f.item WHERE f."user" IN (SELECT "user" FROM held) GROUP BY 1, 2)
+SELECT a.model, a.rank::INT AS k, round(sum(b.h) / sum(b.n), 8) AS precision, round(sum(b.h) / (SELECT count(*) FROM held), 8) AS recall FROM (SELECT DISTINCT model, rank FROM hit) a JOIN hit b ON a.model = b.model AND b.rank <= a.rank GROUP BY 1, 2"""
+
+
+@BOOK.add("rec_compare", _COMPARE_SQL)
 def _(t):
     """Precision and recall of both recommenders on held-out pairs."""
-    pairs = _pairs(t).withColumn("k", F.col("user") * 1000 + F.col("item"))
+    pairs = _pairs(t).withColumn("k", F.col("user") * 1_000_003 + F.col("item"))
     train, test = S.split(pairs, "k", 0.8)
     users, _ = S.split(test.select("user").distinct(), "user", 0.15)
     held = test.join(users, "user", "left_semi")
     train = train.select("user", "item")
     a = RC.precision_recall_at(RC.recommend_popular(train, "user", "item", 5), held, "user", "item").withColumn("model", F.lit("popularity"))
     b = RC.precision_recall_at(RC.recommend_similar(train, RC.item_similarity(train, "user", "item"), "user", "item", 5), held, "user", "item").withColumn("model", F.lit("item similarity"))
-    return a.unionByName(b)
+    return a.unionByName(b).select("model", "k", F.round("precision", 8).alias("precision"), F.round("recall", 8).alias("recall"))
 
 
 QUERIES, ORACLES = BOOK.queries, BOOK.statements
