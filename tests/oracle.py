@@ -36,4 +36,5 @@ def same(df, con, sql):
     assert sorted(names) == cols
     at = [names.index(c) for c in cols]
     want = sorted(repr(tuple(plain(r[i]) for i in at)) for r in res.fetchall())
-    return got == want, [x for x in got if x not in set(want)][:3], [x for x in want if x not in set(got)][:3]
+    ours, theirs = set(got), set(want)
+    return got == want, sorted(ours - theirs)[:3], sorted(theirs - ours)[:3]

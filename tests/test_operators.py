@@ -94,7 +94,7 @@ def test_picture_geometry(spark):
     df = spark.createDataFrame([(px, [0.5, 0.6, 0.7])], "p array<double>, q array<double>")
     assert one(df.select(images.crop("p", 2, 3, 1, 0, 2, 2)))[0] == [3, 4, 5, 9, 10, 11]
     assert one(df.select(images.paste("p", "q", 2, 3, 1, 1, 1)))[0] == [*px[:9], 0.5, 0.6, 0.7]
-    assert one(df.select(images.resize(2, 2, 3, 1, 1)("p")))[0] == [0, 1, 2]
+    assert one(df.select(images.resize("p", 2, 2, 3, 1, 1)))[0] == [0, 1, 2]
 
 
 def test_stream_gives_the_batch_result(spark, data, tmp_path):

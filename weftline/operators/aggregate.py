@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftline.runtime import materialize
 
 
 def pooled_mean(df: DataFrame, value: str, entity: str | None = None, ids: list | None = None) -> DataFrame:
@@ -45,10 +48,35 @@ def bin_counts(df: DataFrame, value: str) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Minimum, quartiles (linear interpolation), mean and maximum."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = (df.groupBy(*by) if by else df).agg(F.min(value).alias("minimum"), q.alias("q"), F.avg(value).alias("mean"), F.max(value).alias("maximum"))
-    return out.select(*(by or []), "minimum", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "mean", "maximum")
+    """Minimum, quartiles (linear interpolation), mean and maximum.
+
+    Exact, from ranks: values are counted, ranges of values are counted, and
+    each range goes on from the count before it. No task holds the values of a
+    group, whatever its size. Missing values take no part; a group without a
+    value has none of the numbers.
+    """
+    by = by or []
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts.repartitionByRange(width, *by, "__v").withColumn("__part", F.spark_partition_id()).withColumn("__n", F.when(F.col("__v").isNull(), 0).otherwise(F.col("__n"))), "value-counts")
+    parts = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__in_part"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("__in_part").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__in_part").over(group).alias("__total"))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    inside = Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(parts, same).withColumn("__to", F.sum("__n").over(inside) + F.col("__before"))
+    aggs = [F.min("__v").alias("minimum"), (F.sum(F.col("__v") * F.col("__n")) / F.nullif(F.max("__total"), F.lit(0))).alias("mean"), F.max("__v").alias("maximum"), F.max("__total").alias("__total")]
+    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        place = q * (F.col("__total") - 1)
+        for end, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            aggs.append(F.min(F.when((F.col("__to") > at) & F.col("__v").isNotNull(), F.col("__v"))).alias(f"{name}_{end}"))
+    out = (ranked.groupBy(*by) if by else ranked).agg(*aggs)
+    quart = lambda n, q: (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (q * (F.col("__total") - 1) - F.floor(q * (F.col("__total") - 1)))).alias(n)
+    kind = dict(df.dtypes)[value]
+    return out.select(*by, F.col("minimum").cast(kind).alias("minimum"), quart("q1", 0.25), quart("median", 0.5), quart("q3", 0.75), "mean", F.col("maximum").cast(kind).alias("maximum"))
 
 
 def sketch(df: DataFrame, columns: list[str], accuracy: float = 0.01) -> DataFrame:

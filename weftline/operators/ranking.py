@@ -50,19 +50,44 @@ def contiguous_folds(df: DataFrame, key: str, k: int) -> DataFrame:
     Rows are numbered without gathering them in one task: ranges of keys are
     counted, and each range numbers its rows from the count before it.
     """
-    spark = df.sparkSession
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = materialize(df.repartitionByRange(width, key).withColumn("__part", F.spark_partition_id()), "fold-ranges")
+    numbered, total = _numbered(df, [key], "__rn")
+    return numbered.withColumn("fold", F.floor(((F.col("__rn") + 1) * k - 1) / total).cast("int") if total else F.lit(0)).drop("__rn")
+
+
+def _numbered(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = materialize(df.repartitionByRange(width, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    # one number for each range, as many as the session has shuffle partitions
     counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, before, start = sum(counts.values()), 0, {}
+    before, start = 0, {}
     for p in sorted(counts):
         start[p] = before
         before += counts[p]
     if not start:
-        return df.withColumn("fold", F.lit(0))
-    offsets = F.create_map(*(F.lit(x) for kv in start.items() for x in kv))
-    rn = F.row_number().over(Window.partitionBy("__part").orderBy(key)) + offsets[F.col("__part")]
-    return ranged.withColumn("fold", F.floor((rn * k - 1) / total).cast("int")).drop("__part")
+        return df.withColumn(name, F.lit(0).cast("long")), 0
+    offsets = F.create_map(*(F.lit(x).cast("long") for kv in start.items() for x in kv))
+    rn = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + offsets[F.col("__part")]
+    return ranged.withColumn(name, rn).drop("__part"), before
+
+
+def numbered(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """Position of each row, from 0, in the given order, without gathering the rows in one task."""
+    return _numbered(df, order, name)[0]
+
+
+def zip_frames(a: DataFrame, b: DataFrame, order_a: list, order_b: list) -> DataFrame:
+    """Rows of two frames side by side by position; the longer one is cut to the shorter."""
+    clash = set(a.columns) & set(b.columns)
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    return numbered(a, order_a, "__position").join(numbered(b, order_b, "__position"), "__position").drop("__position")
+
+
+def outcome_column(outcome: str, columns: dict[str, str]) -> str:
+    """Column that a named outcome stands for; an unknown name is an error."""
+    if outcome not in columns:
+        raise ValueError(f"invalid outcome {outcome!r}, one of {sorted(columns)}")
+    return columns[outcome]
 
 
 def changed(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def is_na(c: str | Column) -> Column:
@@ -91,11 +90,10 @@ def stack_map(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
 def one_hot(df: DataFrame, columns: list[str], limit: int = 1000, domains: dict[str, list] | None = None) -> DataFrame:
     """0/1 columns ``<feature>_<value>`` in place of categorical ones, values in sorted order.
 
-    All domains are found in one pass; a domain over ``limit`` values is an error.
+    Of a domain at most ``limit`` + 1 values reach the driver; over ``limit`` is an error.
     """
     if domains is None:
-        sets = df.select(*(F.array_sort(F.collect_set(c)).alias(c) for c in columns)).first()
-        domains = {c: list(sets[c]) for c in columns}
+        domains = {c: sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()) for c in columns}
     for c, values in domains.items():
         if len(values) > limit:
             raise ValueError(f"{c} has over {limit} values")
@@ -144,7 +142,3 @@ def first_seen_rank(df: DataFrame, value: str, order: str, k: int) -> DataFrame:
     """The k most common values; ties go to the one seen first in ``order``."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))
     return counts.orderBy(F.desc("n"), "first_seen").limit(k)
-
-
-def nth_row(df: DataFrame, by: list[str], order: list, name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.operators import relational as R
-from weftline.operators.ranking import top_per_group
+from weftline.operators.ranking import numbered, top_per_group, zip_frames
 from weftline.plans._query import Book
 from weftline.runtime import shared_dir
 from weftline.sources import files, images
@@ -58,13 +60,37 @@ def _(t):
 
 @BOOK.add("src_entity_files", "SELECT s_nationkey AS id, count(*) AS n, round(avg(s_acctbal), 4) AS mean FROM supplier WHERE s_nationkey IN (3, 7, 12) GROUP BY 1")
 def _(t):
-    """One file an entity, named by number; only the wanted files are opened."""
+    """One file an entity, named by its zero-padded number; only the wanted files are opened."""
     df = t("supplier")
-    spark = df.sparkSession
-    path = _path(spark, "entities")
-    df.select("s_suppkey", "s_acctbal", F.lpad(F.col("s_nationkey").cast("string"), 3, "0").alias("nr")).write.partitionBy("nr").csv(path, header=True)
-    rows = spark.read.schema("s_suppkey long, s_acctbal double, nr string").option("header", True).csv(path).where(F.col("nr").isin("003", "007", "012"))
-    return rows.groupBy(F.col("nr").cast("int").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
+    path = _path(df.sparkSession, "entities")
+    files.write_entities(df.select("s_suppkey", "s_acctbal", "s_nationkey"), path, "s_nationkey")
+    rows = files.read_entities(df.sparkSession, path, "s_suppkey long, s_acctbal double", [3, 7, 12])
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
+
+
+@BOOK.add("src_csv_head", "SELECT [n_nationkey::VARCHAR, n_name] AS fields FROM nation ORDER BY n_nationkey LIMIT 5")
+def _(t):
+    """The first five lines as lists of texts."""
+    df = t("nation").select("n_nationkey", "n_name").orderBy("n_nationkey").coalesce(1)
+    path = _path(df.sparkSession, "csv")
+    files.write_csv(df, path, header=False)
+    return files.read_rows(df.sparkSession, path).limit(5)
+
+
+@BOOK.add("src_parquet_columns", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate > DATE '1998-06-01'")
+def _(t):
+    """A columnar scan reads two columns and skips what the filter rules out."""
+    return t("lineitem").where("l_shipdate > DATE'1998-06-01'").select("l_orderkey", "l_quantity")
+
+
+@BOOK.add("src_npz_matrix", "SELECT * FROM (VALUES ('m.npz', 0::BIGINT, 0::BIGINT, 1.5::DOUBLE), ('m.npz', 0, 2, 2.0), ('m.npz', 2, 1, -3.25)) v(file, row, col, value)")
+def _(t):
+    """A compressed sparse row matrix with an empty row."""
+    spark = t("region").sparkSession
+    path, held = f"{_path(spark, 'npz')}/m.npz", io.BytesIO()
+    np.savez(held, data=np.array([1.5, 2.0, -3.25]), indices=np.array([0, 2, 1]), indptr=np.array([0, 2, 2, 3]))
+    files.write_bytes(spark, path, held.getvalue())
+    return files.read_npz_csr(spark, path)
 
 
 @BOOK.add("src_listing", "SELECT 2::BIGINT AS files, true AS any_bytes")
@@ -115,6 +141,22 @@ def _(t):
     return rows.select("id", images.crop("image_array", 2, 3, 0, 1, 1, 2).alias("cropped"))
 
 
+@BOOK.add("src_image_resize", "SELECT id, list_transform([0, 1, 2, 0, 1, 2, 3, 4, 5, 3, 4, 5, 0, 1, 2, 0, 1, 2, 3, 4, 5, 3, 4, 5, 6, 7, 8, 6, 7, 8, 9, 10, 11, 9, 10, 11, 6, 7, 8, 6, 7, 8, 9, 10, 11, 9, 10, 11], lambda i: image_array[i + 1]) AS pixels FROM image_train WHERE image_array IS NOT NULL AND len(image_array) = 12")
+def _(t):
+    """Pictures of 2 x 2 made 4 x 4."""
+    rows = t("image_train").where("image_array is not null and size(image_array) = 12")
+    return rows.select("id", images.resize("image_array", 2, 2, 3, 4, 4).alias("pixels"))
+
+
+@BOOK.add("src_image_file", "SELECT 2 AS height, 2 AS width, 3 AS channels, 12::BIGINT AS bytes")
+def _(t):
+    """A picture saved and read back."""
+    spark = t("region").sparkSession
+    folder = _path(spark, "pictures")
+    images.write_png(spark, f"{folder}/one.png", list(range(0, 120, 10)), 2, 3)
+    return images.read_images(spark, folder).select("height", "width", "channels", F.length("data").cast("long").alias("bytes"))
+
+
 @BOOK.add("src_literal_frame", "SELECT * FROM (VALUES ('a', 1::BIGINT), ('b', 2), ('c', NULL)) v(name, x)")
 def _(t):
     return t("region").sparkSession.createDataFrame([("a", 1), ("b", 2), ("c", None)], "name string, x long")
@@ -183,6 +225,18 @@ def _(t):
     return t("nation").join(names, "n_name", "left_semi").select("n_nationkey", "n_name")
 
 
+@BOOK.add("row_block", "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders) WHERE position IN (0, 2, 5)")
+def _(t):
+    """Rows by position in an order, and a block of columns."""
+    return numbered(t("orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"]).where(F.col("position").isin(0, 2, 5)).drop("position")
+
+
+@BOOK.add("join_positions", "SELECT c_custkey, p_partkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i FROM customer) JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i FROM part) USING (i)")
+def _(t):
+    """Two frames side by side by position."""
+    return zip_frames(t("customer").select("c_custkey", "c_acctbal"), t("part").select("p_partkey"), [F.desc("c_acctbal"), "c_custkey"], ["p_partkey"]).select("c_custkey", "p_partkey")
+
+
 @BOOK.add("mask_cells", "SELECT obs_id, CASE WHEN wind < 10 THEN wind END AS wind, CASE WHEN temp < 80 THEN temp END AS temp FROM (SELECT obs_id, wind, temp FROM hw1_data)")
 def _(t):
     rows = t("hw1_data").select("obs_id", "wind", "temp")

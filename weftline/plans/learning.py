@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from weftline.ml import classification as C
@@ -20,6 +23,7 @@ from weftline.operators import relational as R
 from weftline.operators import sampling as S
 from weftline.plans import statements as Q
 from weftline.plans._query import Book
+from weftline.runtime import shared_dir
 
 BOOK = Book()
 
@@ -62,18 +66,29 @@ def _(t):
     return S.resample(t("customer").select("c_custkey"), "c_custkey", 2)
 
 
-@BOOK.add("sim_linear")
+@BOOK.add("sim_linear", "SELECT 2.0::DOUBLE AS slope, 0.5::DOUBLE AS intercept")
 def _(t):
     """Coefficients recovered from a simulated line."""
-    rows = S.linear_simulation(t("region").sparkSession, 20_000)
-    return rows.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    rows = S.linear_simulation(t("region").sparkSession, 100_000)
+    return rows.agg(F.round(F.regr_slope("y", "x"), 1).alias("slope"), F.round(F.regr_intercept("y", "x"), 1).alias("intercept"))
 
 
-@BOOK.add("sim_poisson")
+@BOOK.add("sim_poisson", "SELECT 'intercept' AS name, 0.5::DOUBLE AS value UNION ALL SELECT 'x', 0.3")
 def _(t):
-    rows = S.poisson_simulation(t("region").sparkSession, 5_000)
+    rows = S.poisson_simulation(t("region").sparkSession, 20_000)
     m = L.fit_poisson(rows, ["x"], "y")
-    return rows.sparkSession.createDataFrame([("intercept", float(m.intercept)), ("x", float(m.coefficients[0]))], "name string, value double")
+    return rows.sparkSession.createDataFrame([("intercept", round(float(m.intercept), 1)), ("x", round(float(m.coefficients[0]), 1))], "name string, value double")
+
+
+@BOOK.add("sim_draws", "SELECT 3.0::DOUBLE AS binomial, 1.0::DOUBLE AS first, -2.0::DOUBLE AS second, 0.6::DOUBLE AS together, 0.2::DOUBLE AS share, 1.0::DOUBLE AS whole")
+def _(t):
+    """Means of many draws: binomial, multivariate normal with its covariance, Dirichlet."""
+    spark = t("region").sparkSession
+    b = S.binomial_draws(spark, 200_000, 10, 0.3).agg(F.round(F.avg("y"), 1).alias("binomial"))
+    x = F.col("x")
+    m = S.normal_vectors(spark, 200_000, [1.0, -2.0], [[1.0, 0.6], [0.6, 2.0]]).agg(F.round(F.avg(x[0]), 1).alias("first"), F.round(F.avg(x[1]), 1).alias("second"), F.round(F.covar_samp(x[0], x[1]), 1).alias("together"))
+    d = S.dirichlet_draws(spark, 100_000, [1, 4]).agg(F.round(F.avg(x[0]), 1).alias("share"), F.round(F.max(x[0] + x[1]), 6).alias("whole"))
+    return b.crossJoin(m).crossJoin(d)
 
 
 # --- linear algebra
@@ -93,6 +108,28 @@ def _(t):
     return LA.sparse_mean(entries, rows.select("row")).select("col", F.round("value", 8).alias("value"))
 
 
+@BOOK.add(
+    "lin_inverse",
+    "WITH m AS (SELECT sum(temp::DOUBLE * temp) AS a, sum(temp * wind) AS b, sum(wind * wind) AS d FROM hw1_data WHERE temp IS NOT NULL AND wind IS NOT NULL), e AS (SELECT a * d - b * b AS det, a, b, d FROM m) SELECT round(det / 1e6, 3) AS determinant, round(d / det * 1e6, 4) AS i00, round(-b / det * 1e6, 4) AS i01, round(a / det * 1e6, 4) AS i11, round(b * d / 1e6, 3) AS outer_01 FROM e",
+)
+def _(t):
+    """Determinant, cached inverse and outer product of a small matrix of sums."""
+    df = t("hw1_data").where("temp is not null and wind is not null")
+    a, b, d = df.agg(F.sum(F.col("temp").cast("double") * F.col("temp")), F.sum(F.col("temp") * F.col("wind")), F.sum(F.col("wind") * F.col("wind"))).first()
+    x = LA.CachedMatrix([[a, b], [b, d]])
+    inverse = x.solve()
+    row = (round(LA.determinant(x.get()) / 1e6, 3), *(round(float(v) * 1e6, 4) for v in (inverse[0, 0], inverse[0, 1], inverse[1, 1])), round(float(LA.outer([a, b], [b, d])[1, 1]) / 1e6, 3))
+    return df.sparkSession.createDataFrame([row], "determinant double, i00 double, i01 double, i11 double, outer_01 double")
+
+
+@BOOK.add("lin_sparse_row", "SELECT e.key AS col, e.value AS value FROM (SELECT unnest(map_entries(tfidf)) AS e FROM (SELECT tfidf FROM people_wiki WHERE id = (SELECT min(id) FROM people_wiki WHERE tfidf IS NOT NULL AND cardinality(tfidf) > 0) LIMIT 1))")
+def _(t):
+    """One row of a sparse matrix."""
+    rows = t("people_wiki").where("tfidf is not null and cardinality(tfidf) > 0").select(F.col("id").alias("row"), "tfidf").dropDuplicates(["row"])
+    first = rows.agg(F.min("row")).first()[0]
+    return LA.sparse_row(R.stack_map(rows, "tfidf", "col", "value"), first)
+
+
 # --- regression
 
 
@@ -453,6 +490,14 @@ def _(t):
     return L.Topics(words, "words", 3).topics(cutoff=0.2)
 
 
+@BOOK.add("clu_topic_draws", "SELECT count(*) AS documents, 1.0::DOUBLE AS least, 1.0::DOUBLE AS most FROM (SELECT DISTINCT doc_id FROM documents WHERE text IS NOT NULL)")
+def _(t):
+    """Topic probabilities of all documents, averaged over draws of their words, sum to one."""
+    words = t("documents").where("text is not null").select("doc_id", X.word_tokens("text").alias("words")).dropDuplicates(["doc_id"])
+    per = L.Topics(words, "words", 2, tolerance=1e-3).average_predictions(words, "doc_id", 3).groupBy("doc_id").agg(F.sum("probability").alias("p"))
+    return per.agg(F.count(F.lit(1)).alias("documents"), F.round(F.min("p"), 6).alias("least"), F.round(F.max("p"), 6).alias("most"))
+
+
 @BOOK.add("clu_topics")
 def _(t):
     words = t("documents").where("text is not null").select("doc_id", X.word_tokens("text").alias("words"))
@@ -516,6 +561,24 @@ def _(t):
     return out
 
 
+@BOOK.add("cls_tree_size", f"{_LOANS_SQL}, {Q.tree('t', 'r', _LOANS, 4)} SELECT count(*)::INT AS nodes, count(m)::INT AS leaves, count(feature)::INT AS edge_pairs FROM t")
+def _(t):
+    """Nodes and leaves of a tree, and the pairs of edges in its drawing."""
+    tree = TR.build(TR.grouped_rows(_loans(t), _LOANS, "safe_loans"), _LOANS, max_depth=4)
+    return t("region").sparkSession.createDataFrame([(TR.count_nodes(tree), TR.count_leaves(tree), TR.to_dot(tree).count("->") // 2)], "nodes int, leaves int, edge_pairs int")
+
+
+@BOOK.add("cls_saved_model", "SELECT 0::BIGINT AS differing")
+def _(t):
+    """A model saved and loaded gives the same classes."""
+    loans = _loans(t)
+    model = L.fit_classifier(loans, _LOANS, "safe_loans", "tree", maxDepth=3)
+    path = f"{shared_dir(loans.sparkSession)}/weftline/model-{uuid.uuid4().hex}"
+    model.save(path)
+    a, b = (L.classify(m, loans).select("loan_id", F.col("predicted").alias(n)).distinct() for m, n in ((model, "a"), (PipelineModel.load(path), "b")))
+    return a.join(b, "loan_id").agg(F.count_if(F.col("a") != F.col("b")).alias("differing"))
+
+
 @BOOK.add("cls_boosted_stumps", f"{_LOANS_SQL}, {Q.boosting('b', 'r', _LOANS, 5)} SELECT round(error, 8) AS error, 5 AS stumps FROM b WHERE stage = 5")
 def _(t):
     loans = _loans(t)

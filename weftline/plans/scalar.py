@@ -172,6 +172,22 @@ def _(t):
     return t("embeddings").select("vec_id", up(F.element_at(e, 3)).alias("third"), F.size(e).alias("n"), up(F.array_max(e)).alias("largest"), up(F.array_min(e)).alias("smallest"))
 
 
+@BOOK.add("arr_submatrix", "SELECT id, [image_array[4:5], image_array[7:8]] AS block, 4 AS rows, 3 AS columns FROM image_train WHERE image_array IS NOT NULL AND len(image_array) = 12")
+def _(t):
+    """Rows 1-2 and columns 0-1 of a 4 x 3 matrix held by rows, and its shape."""
+    x = F.col("image_array")
+    matrix = F.transform(F.sequence(F.lit(0), (F.size(x) / 3).cast("int") - 1), lambda r: F.slice(x, r * 3 + 1, 3))
+    rows = t("image_train").where("image_array is not null and size(image_array) = 12").select("id", matrix.alias("m"))
+    return rows.select("id", F.transform(F.slice("m", 2, 2), lambda r: F.slice(r, 1, 2)).alias("block"), F.size("m").alias("rows"), F.size(F.col("m")[0]).alias("columns"))
+
+
+@BOOK.add("struct_fields", "SELECT s.key AS key, s.name AS name, s.place.region AS region FROM (SELECT {'key': n_nationkey, 'name': n_name, 'place': {'region': n_regionkey}} AS s FROM nation)")
+def _(t):
+    """Fields of named tuples by name and by nesting."""
+    s = F.struct(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.struct(F.col("n_regionkey").alias("region")).alias("place"))
+    return t("nation").select(s.alias("s")).select(F.col("s").getField("key").alias("key"), "s.name", "s.place.region")
+
+
 @BOOK.add("arr_mutations", "SELECT n_nationkey, [n_nationkey, n_regionkey, 9] AS appended, [n_regionkey] AS popped, list_position([n_nationkey, n_regionkey, 9], 9)::BIGINT AS at, list_sort([n_nationkey, n_regionkey, 9]) AS ordered FROM nation")
 def _(t):
     base = F.array("n_nationkey", "n_regionkey")

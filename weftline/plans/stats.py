@@ -224,6 +224,13 @@ def _(t):
     return _ranked(t, "worst")
 
 
+@BOOK.add("rank_by_outcome", "SELECT station, obs_id FROM (SELECT station, obs_id, row_number() OVER (PARTITION BY station ORDER BY wind, obs_id) AS r FROM (SELECT DISTINCT station, obs_id, wind FROM hw1_data WHERE station IS NOT NULL AND wind IS NOT NULL)) WHERE r = 1")
+def _(t):
+    """The best record of each station for an outcome given by name."""
+    column = K.outcome_column("least wind", {"least wind": "wind", "least heat": "temp"})
+    return K.nth_per_group(t("hw1_data").where(F.col("station").isNotNull() & F.col(column).isNotNull()), "station", column, "obs_id", "best")
+
+
 @BOOK.add(
     "win_moving_average",
     "SELECT station, obs_id, round(m, 8) AS moving_average FROM (SELECT station, obs_id, avg(wind) OVER (PARTITION BY station ORDER BY obs_id ROWS 4 PRECEDING) AS m, row_number() OVER (PARTITION BY station ORDER BY obs_id) AS i FROM (SELECT DISTINCT ON (obs_id) * FROM hw1_data WHERE station IS NOT NULL)) WHERE i >= 5",

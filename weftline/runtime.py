@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -38,14 +40,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    ``spark.checkpoint.dir`` of the running session decides. Only where it is
-    unset (tests, local runs) a temporary folder of our own is used.
+    ``spark.checkpoint.dir`` of the running session decides. Only in a local
+    session where it is unset (tests) a temporary folder of our own is used,
+    which goes when the process ends; on a cluster that is an error.
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="weftline-"))
+        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
     return "file://" + _OWN_DIR[0]
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from weftline.sources.files import write_bytes
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,14 +36,17 @@ def paste(under: str | Column, over: str | Column, width: int, channels: int, le
     return F.transform(under, at)
 
 
-def resize(width: int, height: int, channels: int, new_width: int, new_height: int):
-    """A vectorised function that takes the nearest pixel of each new one."""
+def resize(pixels: str | Column, width: int, height: int, channels: int, new_width: int, new_height: int) -> Column:
+    """The nearest pixel for each new one, as an array expression."""
+    at = [((y * height // new_height) * width + x * width // new_width) * channels + c for y in range(new_height) for x in range(new_width) for c in range(channels)]
+    column = F.col(pixels) if isinstance(pixels, str) else pixels
+    return F.transform(F.array(*(F.lit(i) for i in at)), lambda i: F.get(column, i))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        y = np.arange(new_height) * height // new_height
-        x = np.arange(new_width) * width // new_width
-        for s in batches:
-            yield s.map(lambda p: None if p is None else np.asarray(p, float).reshape(height, width, channels)[y][:, x].ravel().tolist())
 
-    return apply
+def write_png(spark: SparkSession, path: str, pixels: list[int], width: int, channels: int) -> None:
+    """One picture as a PNG file that ``read_images`` reads."""
+    rows = np.asarray(pixels, np.uint8).reshape(-1, width * channels)
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", width, len(rows), 8, 2 if channels == 3 else 0, 0, 0, 0)
+    body = zlib.compress(b"".join(b"\0" + r.tobytes() for r in rows))
+    write_bytes(spark, path, b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", body) + part(b"IEND", b""))
