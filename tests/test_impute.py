@@ -47,7 +47,7 @@ def test_empty_table_and_field_without_values(spark):
 
 def test_field_range_is_inclusive(spark):
     f = Field("ozone", 1, 400)
-    got = [r[0] for r in spark.createDataFrame([(0.0,), (1.0,), (400.0,), (401.0,), (float("nan"),), (None,)], "ozone double").select(f.valid(F.col("ozone"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(0.0,), (1.0,), (400.0,), (401.0,), (float("nan"),), (None,)], "ozone double").select(f.valid(F.col("ozone"), "double")).collect()]
     assert got == [None, 1.0, 400.0, None, None, None]
 
 
@@ -56,7 +56,7 @@ def test_beats_the_mean_on_held_out_values(spark):
     hidden = F.pmod(F.xxhash64("obs_id"), F.lit(8)) == 0
     shown = t.withColumn("ozone", F.when(~hidden, F.col("ozone"))).withColumn("month", F.when(~(F.pmod(F.xxhash64("obs_id", F.lit(1)), F.lit(8)) == 0), F.col("month")))
     out = fill_missing(shown, "obs_id", AIR_FIELDS, "station", "obs_ts", ["wind", "temp"])
-    truth = t.select("obs_id", AIR_FIELDS[0].valid(F.col("ozone")).alias("o"), AIR_FIELDS[2].valid(F.col("month")).alias("m"))
+    truth = t.select("obs_id", AIR_FIELDS[0].valid(F.col("ozone"), "int").alias("o"), AIR_FIELDS[2].valid(F.col("month"), "int").alias("m"))
     rows = out.join(truth, "obs_id").toPandas()
     a = rows[rows.ozone_filled & rows.o.notna()]
     assert len(a) > 30
@@ -69,3 +69,24 @@ def test_beats_the_mean_on_held_out_values(spark):
 def test_tiny_tables(spark, n):
     out = run(frame(spark, [row(i, ozone=None if i else 30) for i in range(n)]))
     assert len(out) == n
+
+
+def test_categories_of_text_and_their_bound(spark):
+    rows = [(i, "ab"[i % 2], dt.datetime(2020, 5, 1) + dt.timedelta(days=i), ("low" if i % 2 else "high") if i % 7 else " ", float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, station string, ts timestamp, level string, x double")
+    out = {r.id: r for r in fill_missing(df, "id", [Field("level", categorical=True)], "station", "ts", ["x"]).collect()}
+    assert {i for i, r in out.items() if r.level_filled} == set(range(0, 60, 7))
+    assert all(r.level == ("low" if i % 2 else "high") for i, r in out.items())
+    with pytest.raises(ValueError):
+        fill_missing(df, "id", [Field("level", categorical=True)], "station", "ts", most_categories=1)
+
+
+def test_solar_and_ozone_stay_in_range_when_held_out(spark):
+    """No worse than the mean by more than chance for a field that follows nothing."""
+    t = table(spark, "/root/testdata/sf0.01", "hw1_data").dropDuplicates(["obs_id"])
+    hidden = F.pmod(F.xxhash64("obs_id", F.lit(3)), F.lit(8)) == 0
+    out = fill_missing(t.withColumn("solar_r", F.when(~hidden, F.col("solar_r"))), "obs_id", AIR_FIELDS, "station", "obs_ts", ["wind", "temp"])
+    rows = out.join(t.select("obs_id", AIR_FIELDS[1].valid(F.col("solar_r"), "int").alias("s")), "obs_id").toPandas()
+    a = rows[rows.solar_r_filled & rows.s.notna()]
+    assert len(a) > 30 and a.solar_r.between(1, 1000).all()
+    assert np.sqrt(((a.solar_r - a.s) ** 2).mean()) < 1.1 * np.sqrt(((rows.s.mean() - a.s) ** 2).mean())

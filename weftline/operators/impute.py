@@ -15,15 +15,22 @@ from weftline.runtime import materialize
 
 @dataclass(frozen=True)
 class Field:
-    """A field to fill: its valid range, and whether it is a category coded by small integers."""
+    """A field to fill: its valid range, and whether it is a category (numbers or texts).
+
+    ``of_time`` names a part of the time stamp (``month``, ``dayofweek``, ...)
+    that tells the category where there is a stamp.
+    """
 
     name: str
-    low: float
-    high: float
+    low: float = -np.inf
+    high: float = np.inf
     categorical: bool = False
+    of_time: str | None = None
 
-    def valid(self, value: Column) -> Column:
-        """The value, or null where it is missing, not a number or impossible."""
+    def valid(self, value: Column, kind: str) -> Column:
+        """The value, or null where it is missing, not a number, impossible or a blank text."""
+        if self.categorical and kind == "string":
+            return F.nullif(F.trim(value), F.lit(""))
         x = value.cast("double")
         return F.when(~F.isnan(x) & x.between(self.low, self.high), x)
 
@@ -105,7 +112,7 @@ def _trust(cells: DataFrame, model: Factors, columns: list[int]) -> dict[int, fl
 
 
 def fill_missing(
-    records: DataFrame, key: str, fields: list[Field], group: str, when: str, numeric: list[str] = (), rank: int = 10, ridge: float = 5.0, rounds: int = 8, neighbour: str | None = None
+    records: DataFrame, key: str, fields: list[Field], group: str, when: str, numeric: list[str] = (), rank: int = 10, ridge: float = 5.0, rounds: int = 8, neighbour: str | None = None, most_categories: int = 64
 ) -> DataFrame:
     """Fills ``fields`` from records of the same ``group`` or the same time, and marks what was filled.
 
@@ -116,7 +123,8 @@ def fill_missing(
     runs with time in a group; default the key). The cells are factorised at
     ``rank``; a missing entry is decoded from the factors of its record and
     field to a valid value: a number within the range, rounded for integer
-    columns, or the category with the greatest cell.
+    columns, or the category with the greatest cell. A category of over
+    ``most_categories`` values is an error: each value is a cell of every record.
 
     Null keys are left out and repeated deliveries count once. Records that
     lack everything get the typical value. A field without any valid value
@@ -134,13 +142,17 @@ def fill_missing(
         F.col(near_by).cast("long").alias("p"),
         F.to_date(when).alias("day"),
         F.month(when).alias("stamp"),
-        *(f.valid(F.col(f.name)).alias(f"f{i}") for i, f in enumerate(fields)),
+        *(f.valid(F.col(f.name), types[f.name]).alias(f"f{i}") for i, f in enumerate(fields)),
+        *(F.expr(f"{f.of_time}(`{when}`)").alias(f"t{i}") for i, f in enumerate(fields) if f.of_time),
         *(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"n{i}") for i, c in enumerate(numeric)),
     )
     base = materialize(kept.dropDuplicates(["k"]), "fill-records")
     plain = [f"f{i}" for i, f in enumerate(fields) if not f.categorical] + [f"n{i}" for i in range(len(numeric))]
     coded = [(f"f{i}", f) for i, f in enumerate(fields) if f.categorical]
-    domains = {c: [r[0] for r in base.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(64).collect()] for c, _ in coded}
+    domains = {c: sorted(r[0] for r in base.select(c).where(F.col(c).isNotNull()).distinct().limit(most_categories + 1).collect()) for c, _ in coded}
+    for c, f in coded:
+        if len(domains[c]) > most_categories:
+            raise ValueError(f"{f.name} has over {most_categories} categories")
 
     def totals(mark: str) -> list[Column]:
         return [e for c in plain for e in (F.sum(c).alias(f"{mark}s_{c}"), F.count(c).alias(f"{mark}n_{c}"))]
@@ -162,7 +174,7 @@ def fill_missing(
     columns = [F.col(c) for c in plain] + [of_others(m, c) for m in "gd" for c in plain] + [F.col(f"{m}_{c}") for m in "ba" for c in plain]
     for c, f in coded:
         for value in domains[c]:
-            for source in (c, f"b_{c}", f"a_{c}", *(["stamp"] if f.name == "month" else [])):
+            for source in (c, f"b_{c}", f"a_{c}", *([f"t{c[1:]}"] if f.of_time else [])):
                 columns.append(F.when(F.col(source).isNotNull(), (F.col(source) == value).cast("double")))
     missing = [F.col(f"f{i}").isNull().alias(f"m{i}") for i in range(len(fields))]
     cells = materialize(wide.select("k", *(f"f{i}" for i in range(len(fields))), *missing, F.array(*(c.cast("double") for c in columns)).alias("cells")), "fill-cells")
@@ -175,7 +187,7 @@ def fill_missing(
     for i, f in enumerate(fields):
         if f.categorical:
             values = domains[f"f{i}"]
-            step = 4 if f.name == "month" else 3
+            step = 4 if f.of_time else 3
             where[i] = [at + step * j for j in range(len(values))]
             at += step * len(values)
         else:
@@ -183,6 +195,8 @@ def fill_missing(
     trust = _trust(cells, model, [where[i] for i, f in enumerate(fields) if not f.categorical])
     empty = {i for i, f in enumerate(fields) if not f.categorical and _unknown(cells, where[i])}
 
+    kinds = [pa.string() if dict(base.dtypes)[f"f{i}"] == "string" else pa.float64() for i in range(len(fields))]
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
@@ -191,15 +205,15 @@ def fill_missing(
             out = [b.column(0)]
             for i, f in enumerate(fields):
                 if f.categorical:
-                    values = np.array(domains[f"f{i}"], float)
-                    value = values[guess[:, where[i]].argmax(1)] if len(values) else np.full(len(guess), np.nan)
-                else:
-                    value = np.full(len(guess), np.nan) if i in empty else np.clip(guess[:, where[i]], f.low, f.high)
+                    values = pa.array(domains[f"f{i}"], kinds[i])
+                    out.append(values.take(pa.array(guess[:, where[i]].argmax(1))) if len(values) else pa.nulls(len(guess), kinds[i]))
+                    continue
+                value = np.full(len(guess), np.nan) if i in empty else np.clip(guess[:, where[i]], f.low, f.high)
                 out.append(pa.array(value, pa.float64(), from_pandas=True))
             yield pa.RecordBatch.from_arrays(out, ["k", *(f"guess{i}" for i in range(len(fields)))])
 
     key_type = dict(base.dtypes)["k"]
-    guesses = cells.where(" or ".join(f"m{i}" for i in range(len(fields)))).select("k", "cells").mapInArrow(decode, f"k {key_type}, " + ", ".join(f"guess{i} double" for i in range(len(fields))))
+    guesses = cells.where(" or ".join(f"m{i}" for i in range(len(fields)))).select("k", "cells").mapInArrow(decode, f"k {key_type}, " + ", ".join(f"guess{i} {'string' if kinds[i] == pa.string() else 'double'}" for i in range(len(fields))))
     joined = cells.drop("cells").join(guesses, "k", "left")
     out = [F.col("k").alias(key)]
     for i, f in enumerate(fields):

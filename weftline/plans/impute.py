@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.operators.impute import Field, fill_missing
 from weftline.runtime import table
 
-AIR_FIELDS = [Field("ozone", 1, 400), Field("solar_r", 1, 1000), Field("month", 1, 12, categorical=True)]
+AIR_FIELDS = [Field("ozone", 1, 400), Field("solar_r", 1, 1000), Field("month", 1, 12, categorical=True, of_time="month")]
 
 
 def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
