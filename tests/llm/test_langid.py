@@ -40,7 +40,7 @@ def test_forward_sums_all_segmentations():
     p = lambda x, i: m.probability[x][i] if x in m.probability else 0.5 * m.background_share * 30.0 ** -len(x)
     for i in (0, 1):
         total = sum(math.prod(p(x, i) for x in w) for w in ways(s))
-        assert m.word("abc")[i] == pytest.approx(math.log(total))
+        assert m.words(["abc"])[0][i] == pytest.approx(math.log(total))
     per = [sum(v[i] for v in m.probability.values()) for i in (0, 1)]
     assert all(0.9 < t <= 1.0 + 1e-9 for t in per)
 

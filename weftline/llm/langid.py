@@ -31,7 +31,8 @@ LANGUAGES = {
 MISSING = ("", "und", "unknown")  # fixed values: labels that name no language
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_NOISE = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+|<[^<>]*>|\[[^\[\]]{0,12}\]|\S*\d\S*")
+# links, addresses, marks and tokens with digits; tokens are tried from their start only, so that a very long one costs no more than its length
+_NOISE = re.compile(r"(?:https?://|www\.)\S+|(?<![^\s>\]])[^\s@]+@[^\s.]+\.\S+|<[^<>]*>|\[[^\[\]]{0,12}\]|(?<![^\s>\]])\S*\d\S*")
 _BREAK = re.compile(r"(?<=[.!?])[\"')\]]*\s+|[\r\n]+|\s[-–—]\s")
 _PIECE_CHARS = 16
 
@@ -73,6 +74,8 @@ class PieceModel:
     probability: dict[str, np.ndarray] = field(default_factory=dict)
     cache: dict[str, int] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    row_of: dict[str, int] | None = None
+    rows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
     @classmethod
     def load(cls, path: str, codes: list[str]) -> PieceModel:
@@ -132,53 +135,94 @@ class PieceModel:
         self.probability = {
             x: np.array([(1 - share) * per[c].get(x, 0.0) + share * (0.5 * pooled.get(x, 0.0) + 0.5 * 30.0 ** -len(x)) for c in self.codes]) for x in pooled
         }
-        self.cache, self.table = {}, np.zeros((0, len(self.codes)))
+        self.cache, self.table, self.row_of = {}, np.zeros((0, len(self.codes))), None
         return self
 
-    def word(self, word: str) -> np.ndarray:
-        """Log probability of a word in each language."""
-        total = np.zeros(len(self.codes))
-        for k in range(0, len(word), 32):  # longer tokens are scored in parts, so that nothing underflows
-            total = total + self._forward(word[k : k + 32])
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log probability of each word in each language."""
+        # longer tokens are scored in parts, so that nothing underflows
+        parts = [(i, w[k : k + 32]) for i, w in enumerate(words) for k in range(0, len(w), 32)]
+        total = np.zeros((len(words), len(self.codes)))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for at, (_, part) in enumerate(parts):
+            by_length[len(part)].append(at)
+        for length, some in by_length.items():
+            for s in range(0, len(some), 5_000):
+                own = some[s : s + 5_000]
+                np.add.at(total, [parts[i][0] for i in own], self._forward([parts[i][1] for i in own], length + 1))
         return total
 
-    def _row(self, word: str) -> int:
-        """Place of a word's evidence in ``table``: log ratios to its best language, none below -``most``."""
-        at = self.cache.get(word)
-        if at is None:
-            ratio = self.word(word)
-            at = len(self.cache)
-            if at == len(self.table):
-                self.table = np.vstack([self.table, np.zeros((max(1024, at), len(self.codes)))])
-            self.table[at] = np.maximum(ratio - ratio.max(), -self.most)
-            self.cache[word] = at
-        return at
-
     def evidence(self, parts: list[list[str]]) -> np.ndarray:
-        """Evidence of each sentence: the sum of its words'.
+        """Evidence of each sentence: the sum of its words' log ratios to their best language, none below -``most``.
 
         The bound on a word keeps one name or foreign title from outvoting the
         sentence. Words are kept until there are 200,000, then all are dropped.
         """
         if len(self.cache) > 200_000:
             self.cache, self.table = {}, np.zeros((0, len(self.codes)))
-        rows = [self._row(w) for p in parts for w in p]
+        cache = self.cache
+        new = list(dict.fromkeys(w for p in parts for w in p if w not in cache))
+        if new:
+            ratio = self.words(new)
+            rows = np.maximum(ratio - ratio.max(1, keepdims=True), -self.most)
+            cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
+            self.table = np.concatenate([self.table, rows])
+        at = np.array([cache[w] for p in parts for w in p])
         first = np.cumsum([0, *(len(p) for p in parts[:-1])])
-        return np.add.reduceat(self.table[rows], first, axis=0)
-
-    def _forward(self, word: str) -> np.ndarray:
-        share = 0.5 * self.background_share
-        ends = self._pieces(word)
-        alpha = [np.ones(len(self.codes))]
-        for j, pieces in enumerate(ends, 1):
-            total = np.zeros(len(self.codes))
-            for x in pieces:
-                p = self.probability.get(x)
-                total = total + alpha[j - len(x)] * (share * 30.0 ** -len(x) if p is None else p)
-            if not pieces:  # a character outside the vocabulary tells nothing
-                total = alpha[j - 1] * share / 30.0
-            alpha.append(total)
-        return np.log(np.maximum(alpha[-1], 1e-300))
+        return np.add.reduceat(self.table[at], first, axis=0)
+
+    def _forward(self, words: list[str], size: int) -> np.ndarray:
+        """Forward algorithm for words of one length: log of the sum over all segmentations of "▁" + word."""
+        if self.row_of is None:
+            share = 0.5 * self.background_share
+            known = sorted(self.vocabulary)
+            tiny = [share * 30.0 ** -len(x) for x in known]
+            rows = [self.probability.get(x, np.full(len(self.codes), t)) for x, t in zip(known, tiny, strict=True)]
+            # the first row is no piece
+            self.row_of, self.rows = {x: i + 1 for i, x in enumerate(known)}, np.vstack([np.zeros(len(self.codes)), *rows])
+        get = self.row_of.get
+        spans = [(j, n) for j in range(1, size + 1) for n in range(1, min(_PIECE_CHARS, j) + 1)]
+        cuts = [(j - n, j) for j, n in spans]
+        found = np.array([[get(w[a:b], 0) for a, b in cuts] for w in ("▁" + w for w in words)], np.int32)
+        alpha = np.zeros((size + 1, len(words), len(self.codes)))
+        alpha[0] = 1.0
+        some = np.zeros((size + 1, len(words)), bool)
+        for k, (j, n) in enumerate(spans):
+            own = np.flatnonzero(found[:, k])
+            if len(own):
+                alpha[j, own] += alpha[j - n, own] * self.rows[found[own, k]]
+                some[j, own] = True
+            if n == min(_PIECE_CHARS, j) and not some[j].all():  # a character outside the vocabulary tells nothing
+                off = ~some[j]
+                alpha[j, off] = alpha[j - 1, off] * (0.5 * self.background_share / 30.0)
+        return np.log(np.maximum(alpha[size], 1e-300))
+
+    def all_segments(self, texts: list[str | None], switch: float = 8.0) -> list[list[tuple[str, float, int]]]:
+        """``segments`` of many texts: one look at their words, and a search only where sentences disagree."""
+        parts = [sentences(t) for t in texts]
+        flat = [s for p in parts for s in p]
+        if not flat or not self.codes:
+            return [[] for _ in texts]
+        score = self.evidence(flat)
+        best = score.argmax(1)
+        out: list[list[tuple[str, float, int]]] = []
+        at = 0
+        for p in parts:
+            end = at + len(p)
+            if not p:
+                out.append([])
+            elif (best[at:end] == best[at]).all():
+                # each sentence is likeliest in this language, so no other sequence can be better
+                out.append([self._run(score[at:end], int(best[at]))])
+            else:
+                out.append(self._best(score[at:end], switch))
+            at = end
+        return out
+
+    def _run(self, score: np.ndarray, lang: int) -> tuple[str, float, int]:
+        total = score.sum(0)
+        rest = np.exp(np.clip(total - total[lang], -700, 700)).sum()
+        return self.codes[lang], float(1 / rest), len(score)
 
     def segments(self, text: str | None, switch: float = 8.0) -> list[tuple[str, float, int]]:
         """(language, confidence, sentences) of the longest runs of sentences in one language.
@@ -187,10 +231,9 @@ class PieceModel:
         change (Viterbi), so a sentence that tells little follows its
         neighbours. Confidence is the posterior of the language over the run.
         """
-        parts = sentences(text)
-        if not parts:
-            return []
-        score = self.evidence(parts)
+        return self.all_segments([text], switch)[0]
+
+    def _best(self, score: np.ndarray, switch: float) -> list[tuple[str, float, int]]:
         best, back = score[0].copy(), []
         for row in score[1:]:
             top = int(best.argmax())
@@ -204,40 +247,43 @@ class PieceModel:
         out, first = [], 0
         for i in range(1, len(path) + 1):
             if i == len(path) or path[i] != path[first]:
-                total = score[first:i].sum(0)
-                rest = np.exp(np.clip(total - total[path[first]], -700, 700)).sum()
-                out.append((self.codes[path[first]], float(1 / rest), i - first))
+                out.append(self._run(score[first:i], path[first]))
                 first = i
         return out
 
 
-def train(samples: DataFrame, vocabulary_path: str, labelled: DataFrame | None = None, labelled_rows: int = 4000, rounds: int = 3, anchor: int = 5) -> PieceModel:
+def train(samples: DataFrame, vocabulary_path: str, labelled: DataFrame | None = None, labelled_rows: int = 4000, rounds: int = 3, anchor: int = 5, most_samples: int = 20_000) -> PieceModel:
     """Fits the model on ``samples`` (text, lang) and at most ``labelled_rows`` rows of ``labelled``.
 
-    The bound is on the number of labelled documents, drawn by hash of their
+    The languages are those of the samples; more than ``most_samples`` of these are an error. The bound is on the number of labelled documents, drawn by hash of their
     text. Their labels may be wrong and the documents mixed: the first fit
     takes every sentence under its document's label, as most labels are right;
     each later one puts every sentence under the language that the model so
     far gives it. The samples count ``anchor`` times throughout.
     """
-    codes = sorted(LANGUAGES)
+    given = samples.select("text", label_language(F.col("lang")).alias("lang")).where("lang is not null and text is not null").limit(most_samples + 1).collect()
+    if len(given) > most_samples:
+        raise ValueError(f"over {most_samples} samples of known language")
+    codes = sorted({row.lang for row in given})
     base: dict[str, Counter] = {c: Counter() for c in codes}
-    for row in samples.select("text", label_language(F.col("lang")).alias("lang")).where("lang is not null and text is not null").limit(20_000).collect():
-        if row.lang in base:
-            for s in sentences(row.text):
-                for w in s:
-                    base[row.lang][w] += anchor
+    for row in given:
+        for s in sentences(row.text):
+            for w in s:
+                base[row.lang][w] += anchor
     model = PieceModel.load(vocabulary_path, codes)
-    if labelled is None:
+    if labelled is None or not codes:
         return model.fit(base)
     some = labelled.select("text", label_language(F.col("lang")).alias("lang")).where(F.col("lang").isin(codes) & F.col("text").isNotNull())
-    rows = some.where(F.length("text") < 4000).orderBy(F.xxhash64("text"), "lang").limit(labelled_rows).collect()
-    given = Counter((r.lang, tuple(s)) for r in rows for s in sentences(r.text))
+    rows = some.orderBy(F.xxhash64("text"), "lang").limit(labelled_rows).collect()
+    told = Counter((r.lang, tuple(s)) for r in rows for s in sentences(r.text))
     for k in range(rounds):
         words = {c: Counter(n) for c, n in base.items()}
-        for (lang, sentence), n in given.items():
+        if k:
+            every = list(dict.fromkeys(sentence for _, sentence in told))
+            now = dict(zip(every, model.evidence([list(x) for x in every]).argmax(1).tolist(), strict=True)) if every else {}
+        for (lang, sentence), n in told.items():
             if k:
-                lang = codes[int(model.evidence([list(sentence)])[0].argmax())]
+                lang = codes[now[sentence]]
             for w in sentence:
                 words[lang][w] += n
         model = model.fit(words)
@@ -262,8 +308,7 @@ def document_languages(documents: DataFrame, key_col: str, text_col: str, label_
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 at, rows = [], []
-                for i, text in enumerate(b.column(2).to_pylist()):
-                    found = m.segments(text)
+                for i, found in enumerate(m.all_segments(b.column(2).to_pylist())):
                     for k, (lang, confidence, n) in enumerate(found, 1):
                         at.append(i)
                         rows.append((len(found), k, lang, confidence, n))
