@@ -162,7 +162,7 @@ def text_overlaps(
     Jaccard similarity of the distinct terms >= ``threshold``. Each pair also
     gets the containment of the evaluation record in the training record.
     Grams found (on a sample, which only steers the physical plan) to be
-    shared by over ``hot_rows`` training records are salted.
+    shared by over ``hot_rows`` records of either side are salted.
 
     Null keys, null splits, and texts of fewer than ``min_terms`` distinct
     terms (null and empty ones too) take no part; a repeated delivery counts
@@ -186,9 +186,10 @@ def text_overlaps(
     hot = _hot_grams(rows, hot_rows)
 
     exploded = rows.select(F.explode("grams").alias("gram"), "cls", "parity", "n_terms", "in_train")
-    if hot:
+    n_hot = hot.count()
+    if n_hot:
         # a hot gram becomes salts x salts buckets: each side keeps one coordinate and is repeated along the other
-        salts = F.broadcast(records.sparkSession.createDataFrame(hot, "gram long, salts int"))
+        salts = F.broadcast(hot) if n_hot <= 100_000 else hot
         own = F.pmod(F.xxhash64("cls"), "salts")
         across = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts"), F.lit(1)).cast("long") - 1))
         exploded = exploded.join(salts, "gram", "left").withColumn("other", across).withColumn("own", F.coalesce(own, F.lit(0)))
@@ -200,7 +201,7 @@ def text_overlaps(
 
     wanted = hits.select(F.explode(F.array("train_cls", "eval_cls")).alias("cls")).distinct()
     one_of = emitted.groupBy("cls").agg(F.min("key").alias("key"))
-    texts = source.join(one_of.join(wanted, "cls").hint("shuffle_hash"), "key").select("cls", "text").dropDuplicates(["cls"])
+    texts = source.join(one_of.join(wanted, "cls").hint("merge"), "key").select("cls", "text").dropDuplicates(["cls"])
     a = texts.select(F.col("cls").alias("train_cls"), F.col("text").alias("train_text"))
     b = texts.select(F.col("cls").alias("eval_cls"), F.col("text").alias("eval_text"))
     judged = hits.join(a, "train_cls").join(b, "eval_cls").select("train_cls", "eval_cls", _shared_terms(F.lit(style), "train_text", "eval_text").alias("s"))
@@ -293,12 +294,12 @@ def _without_hot_copies(emitted: DataFrame) -> DataFrame:
     return emitted.join(kept, ["cls", "in_train"], "left").where("kept is null or kept = key").drop("kept")
 
 
-def _hot_grams(rows: DataFrame, hot_rows: int, one_in: int = 50) -> list[tuple[int, int]]:
-    """Grams to salt: at most 1000, the most frequent among a fiftieth of the training records."""
-    few = rows.where(F.col("in_train") & (F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0))
-    counts = few.select(F.explode("grams").alias("gram")).groupBy("gram").count()
-    top = counts.where(F.col("count") * one_in > hot_rows).orderBy(F.desc("count"), "gram").limit(1000).collect()
-    return [(r["gram"], math.ceil(r["count"] * one_in / hot_rows)) for r in top]
+def _hot_grams(rows: DataFrame, hot_rows: int, one_in: int = 50) -> DataFrame:
+    """``gram, salts``: every gram that a fiftieth of the records shows to be frequent on either side."""
+    few = rows.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0)
+    counts = few.select(F.explode("grams").alias("gram"), F.col("in_train").cast("int").alias("t")).groupBy("gram").agg(F.greatest(F.sum("t"), F.sum(1 - F.col("t"))).alias("c"))
+    hot = counts.where(F.col("c") * one_in > hot_rows)
+    return materialize(hot.select("gram", F.ceil(F.col("c") * one_in / hot_rows).cast("int").alias("salts")), "overlap-hot")
 
 
 def _norm_text(c: str) -> Column:
