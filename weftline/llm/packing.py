@@ -70,7 +70,7 @@ def minimum_bin_slack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(items: DataFrame, specs: DataFrame, block_items: int = 20_000) -> DataFrame:
+def pack(items: DataFrame, specs: DataFrame, block_items: int = 20_000, most_specs: int = 1000) -> DataFrame:
     """Puts ``items`` (key, n_tokens) into containers of each of ``specs`` (spec, capacity).
 
     Items are spread over blocks of about ``block_items`` by hash, and each
@@ -88,7 +88,9 @@ def pack(items: DataFrame, specs: DataFrame, block_items: int = 20_000) -> DataF
     total = items.count()
     blocks = max(1, round(total / block_items))
     # the specs are a list of wanted capacities, never data that grows
-    wanted = [(r.spec, r.capacity) for r in specs.orderBy("spec").limit(1000).collect()]
+    wanted = [(r.spec, r.capacity) for r in specs.orderBy("spec").limit(most_specs + 1).collect()]
+    if len(wanted) > most_specs:
+        raise ValueError(f"over {most_specs} capacities")
     if not wanted:
         wanted_df = specs
     else:

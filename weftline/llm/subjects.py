@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftline.runtime import materialize
 
-# fixed values: openings and phrases of sentences that tell of somebody else, of a pastime or of a wish
+# openings and phrases of sentences that tell of somebody else, of a pastime or of a wish
 KIN = "mother father parents brother sister cousin aunt uncle son daughter wife husband spouse grandmother grandfather grandparents nephew niece stepfather stepmother twin relative namesake"
 OTHERS = (
     r"same name|not be confused|namesake",
@@ -323,18 +323,20 @@ def _sentences(texts: DataFrame, model: SubjectModel) -> DataFrame:
     return materialize(distinct.select(F.xxhash64("known").alias("mark"), "known").mapInArrow(weigh, "mark long, words array<int>, weights array<float>"), "subject-sentences")
 
 
-def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int = 1500, sharpen: int = 3, spread: float = 0.5) -> SubjectModel:
+def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int = 1500, sharpen: int = 3, spread: float = 0.5, most_examples: int = 20_000) -> SubjectModel:
     """Fits leaves on the sentences of all texts and labels them from the examples and the whole collection.
 
     Words are counted over all texts, and the rounds of the clustering are sums
-    over the vectors of all distinct sentences. Only the labelled examples (at
-    most 20,000) come to the driver. Leaves are labelled by discriminative terms of the
+    over the vectors of all distinct sentences. Only the labelled examples come
+    to the driver; over ``most_examples`` of these are an error. Leaves are labelled by discriminative terms of the
     examples (``subject``, ``text``). What no example shows is learnt from all
     records: a leaf takes the subjects of the documents in which its sentences
     stand, so far as these exceed the subjects of all documents, and the
     labels are sharpened ``sharpen`` times over the whole collection.
     """
-    given = [(r.subject, r.text) for r in examples.where("subject is not null and text is not null").select("subject", "text").limit(20_000).collect()]
+    given = [(r.subject, r.text) for r in examples.where("subject is not null and text is not null").select("subject", "text").limit(most_examples + 1).collect()]
+    if len(given) > most_examples:
+        raise ValueError(f"over {most_examples} labelled examples")
     subjects = sorted({s for s, _ in given})
     shown = [(subjects.index(s), w) for s, t in given for w, own in own_sentences(t) if own]
     texts = records.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"))
