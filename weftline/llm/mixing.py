@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,20 +41,24 @@ def bisect(holds, low: float, high: float, steps: int = 60) -> float:
 
 @dataclass
 class Plan:
-    """Budget in tokens for each source, the exponent found, and the total aimed at."""
+    """Budget in tokens for each source, the exponent found, the total aimed at, and the exponent at which each source stands."""
 
     budgets: dict[str, float]
     exponent: float
     total: float
+    exponents: dict[str, float] = field(default_factory=dict)
 
 
-def plan(sizes: dict[str, int], max_repeats: dict[str, int], targets: dict[str, float] | None = None, total: float | None = None, target_entropy: float | None = None) -> Plan:
+def plan(sizes: dict[str, int], max_repeats: dict[str, int], targets: dict[str, float] | None = None, total: float | str | None = None, target_entropy: float | None = None) -> Plan:
     """Budgets of sources of the given sizes.
 
-    With ``targets``, the exponent goes from the sources' own shares (0) to
+    ``total`` defaults to all tokens of the sources. With ``targets``, the exponent goes from the sources' own shares (0) to
     the targets (1) and is bisected to the greatest at which no source is
-    repeated more than ``max_repeats`` times; without a ``total`` the largest
-    one is taken at which the targets themselves hold. Without ``targets``
+    repeated more than ``max_repeats`` times. The sources that stand at their
+    limit there keep that budget, and for the others the exponent is bisected
+    again over what is left of the total, until it reaches 1: these get
+    shares in proportion to their targets. With ``total`` "met" the largest
+    total is taken at which all targets hold. Without ``targets``
     the shares are raised to an exponent, bisected to reach
     ``target_entropy`` (a smaller exponent is flatter) within the limit.
     Sources without tokens or target get nothing; the targets of the others are normalised.
@@ -67,10 +71,8 @@ def plan(sizes: dict[str, int], max_repeats: dict[str, int], targets: dict[str,
     room = {s: n * max_repeats.get(s, 1) for s, n in sizes.items()}
     if targets is not None:
         wanted = tempered(shares, 1.0, targets)
-        total = min(room[s] / wanted[s] for s in wanted) if total is None else min(total, sum(room.values()))
-        fits = lambda x: all(w * total <= room[s] * (1 + 1e-12) for s, w in tempered(shares, x, targets).items())
-        x = bisect(fits, 0.0, 1.0)
-        weights = tempered(shares, x, targets)
+        total = min(room[s] / wanted[s] for s in wanted) if total == "met" else min(everything if total is None else total, sum(room.values()))
+        return _at_limits(shares, room, targets, total)
     else:
         total = everything if total is None else min(total, sum(room.values()))
         fits = lambda y: all(w * total <= room[s] * (1 + 1e-12) for s, w in tempered(shares, 1 - y).items()) and (target_entropy is None or entropy(tempered(shares, 1 - y)) <= target_entropy)
@@ -88,6 +90,24 @@ def plan(sizes: dict[str, int], max_repeats: dict[str, int], targets: dict[str,
     return Plan(budgets, x, total)
 
 
+def _at_limits(shares: dict[str, float], room: dict[str, float], targets: dict[str, float], total: float) -> Plan:
+    budgets: dict[str, float] = {}
+    exponents: dict[str, float] = {}
+    first, low = None, 0.0
+    while open_ := {s: p for s, p in shares.items() if s not in budgets}:
+        left = max(total - sum(budgets.values()), 0.0)
+        fits = lambda x: all(w * left <= room[s] * (1 + 1e-9) for s, w in tempered(open_, x, targets).items())  # noqa: B023, E731
+        x = bisect(fits, low, 1.0) if fits(low) else low
+        first, low = x if first is None else first, x
+        weights = tempered(open_, x, targets)
+        # at an exponent below 1 some source has reached its limit: the ones that a little more would take beyond it
+        bound = [s for s, w in weights.items() if w * left >= room[s] * (1 - 1e-6)] if x < 1 else list(weights)
+        bound = bound or [max(weights, key=lambda s: weights[s] * left / room[s])]  # noqa: B023
+        for s in bound:
+            budgets[s], exponents[s] = min(weights[s] * left, room[s]), x
+    return Plan({s: budgets[s] for s in shares}, first if first is not None else 1.0, total, exponents)
+
+
 def draw(documents: DataFrame, budgets: dict[str, float], seed: int = 17, block_rows: int = 5_000) -> DataFrame:
     """Draws ``documents`` (key, source, n_tokens) up to each source's budget.
 
@@ -132,16 +152,20 @@ def draw(documents: DataFrame, budgets: dict[str, float], seed: int = 17, block_
     return full.unionByName(part).withColumn("place", F.xxhash64("key", "pass", F.lit(seed + 2)))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = None, most_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Draws ``documents`` (key, source, n_tokens) to the shares of ``targets`` (source, target_share, max_repeats).
 
     Returns the draws (see ``draw``) and a report with a row for each listed
     source: ``source, target_share, max_repeats, documents, available_tokens,
-    drawn_tokens, actual_share, most_repeats, met``. Sources that are not listed stay out;
+    drawn_tokens, actual_share, most_repeats, exponent, met``; ``total`` as for ``plan``. ``exponent`` is that at which the source
+    stands: below 1 it is held by its repetition limit. More than
+    ``most_sources`` targets are an error. Sources that are not listed stay out;
     a listed source without documents has share 0 and is not met. ``met``: within
     half a percent of the target, absolutely.
     """
-    listed = targets.where("source is not null and target_share > 0").dropDuplicates(["source"]).limit(10_000).collect()
+    listed = targets.where("source is not null and target_share > 0").dropDuplicates(["source"]).limit(most_sources + 1).collect()
+    if len(listed) > most_sources:
+        raise ValueError(f"over {most_sources} sources are listed")
     goal = {r.source: float(r.target_share) for r in listed}
     repeats = {r.source: int(r.max_repeats or 1) for r in listed}
     rows = materialize(documents.where(F.col("source").isin(list(goal))).dropDuplicates(["key"]), "mix-sizes")
@@ -150,7 +174,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None) ->
     drawn = materialize(draw(rows, found.budgets), "mix-draws") if found.budgets else draw(rows, {"": 0.0})
     got = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.max("pass").alias("most_repeats"))
     all_drawn = drawn.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_drawn"))
-    base = rows.sparkSession.createDataFrame([(s, goal[s], repeats[s], stock.get(s, (0, 0))[0], stock.get(s, (0, 0))[1] or 0) for s in goal], "source string, target_share double, max_repeats int, documents long, available_tokens long")
+    base = rows.sparkSession.createDataFrame([(s, goal[s], repeats[s], stock.get(s, (0, 0))[0], stock.get(s, (0, 0))[1] or 0, found.exponents.get(s)) for s in goal], "source string, target_share double, max_repeats int, documents long, available_tokens long, exponent double")
     report = base.join(got, "source", "left").crossJoin(F.broadcast(all_drawn))
     actual = F.coalesce(F.col("drawn_tokens") / F.nullif(F.col("all_drawn"), F.lit(0)), F.lit(0.0))
     return drawn, report.select(
@@ -162,5 +186,6 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None) ->
         F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"),
         actual.alias("actual_share"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"),
+        "exponent",
         (F.abs(actual - F.col("target_share")) <= 0.005).alias("met"),
     )

@@ -157,9 +157,9 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixture(spark: SparkSession, sf_dir: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
     items = sizes.with_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", sizes.vocabulary(), "source")
-    return mixing.mix(items, table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(items, table(spark, sf_dir, "mix_targets"), total)
 
 
 def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +168,15 @@ def p9_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and actual share of each listed source."""
+    """Target and actual share of each listed source, at as many tokens as the sources hold."""
     return _mixture(spark, sf_dir)[1]
 
 
+def p9_met_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same at the largest total at which every source with documents has its share."""
+    return _mixture(spark, sf_dir, "met")[1]
+
+
 def _piece_vocabulary() -> str:
     """The public vocabulary; WEFTLINE_TOKENIZERS names another folder."""
     return os.path.join(os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -207,6 +212,7 @@ def queries() -> dict[str, Query]:
         "p8_report": p8_report,
         "p9_draws": p9_draws,
         "p9_shares": p9_shares,
+        "p9_met_shares": p9_met_shares,
         "p10_found": p10_found,
         "p10_segments": p10_segments,
     }
