@@ -228,9 +228,9 @@ def _sums(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return total, number
 
 
-def _spherical_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+def _spherical_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, start: np.ndarray | None = None) -> np.ndarray:
     k = max(1, min(k, len(x)))
-    c = x[rng.choice(len(x), k, replace=False)]
+    c = x[rng.choice(len(x), k, replace=False)] if start is None else start
     for _ in range(rounds):
         near = np.concatenate([(x[s : s + 4096] @ c.T).argmax(1) for s in range(0, len(x), 4096)])
         total = _sums(x, near, len(c))[0]
@@ -261,6 +261,8 @@ class IvfPq:
                 lists.append(part)
                 cells.append(np.full(len(part), c))
         centroids, cell_of = np.concatenate(lists), np.concatenate(cells)
+        # the lists of one cell know nothing of those beside it: two rounds over all of them
+        centroids = _spherical_means(sample, len(centroids), rng, 2, centroids)
         near = np.concatenate([(sample[s : s + 4096] @ centroids.T).argmax(1) for s in range(0, len(sample), 4096)])
         residual = sample - centroids[near]
         width = sample.shape[1] // sub
@@ -338,6 +340,7 @@ def similar_vectors(
     sub: int = 16,
     rerank: int = 128,
     queries: str | None = None,
+    at_least: float | None = None,
 ) -> DataFrame:
     """The ``k`` most similar other records of every record, by cosine similarity.
 
@@ -351,6 +354,7 @@ def similar_vectors(
     against the codes, the best ``rerank`` of a cell are scored exactly, and
     partial results of all cells and files meet in a top-k. A cell that holds
     more than its share is cut into a grid of blocks of rows and of seekers.
+    Pairs of an exact similarity below ``at_least`` are left out of the result.
     ``queries``, an SQL condition on the key, restricts the records for which
     neighbours are sought, never the records among which.
 
@@ -392,7 +396,7 @@ def similar_vectors(
         picked = source.select("v").limit(train_rows).mapInArrow(_payload_rows(kind), "p binary").toPandas()["p"].tolist()
     sample = list(dict.fromkeys(map(bytes, picked)))[:train_rows]
     n_lists = max(1, min(max_lists, distinct // list_rows))
-    n_cells = max(1, min(n_lists, max(8, distinct // 10_000)))
+    n_cells = max(1, min(n_lists, max(4, distinct // 15_000)))
     views = [kind.view(name, i, sample) for i, (name, _) in enumerate(files)]
     indexes = [IvfPq.fit(_Files.unit(v(sample))[0], n_lists, n_cells, sub, distinct / 24_000, seed=7 + i) for i, v in enumerate(views)]
     probes = [max(1, math.ceil(p * len(ix.centroids))) if p < 1 else int(p) for (_, p), ix in zip(files, indexes, strict=True)]
@@ -507,6 +511,8 @@ def similar_vectors(
             order = np.lexsort((rank_of[b], -sims, a))
             a, b, sims = a[order], b[order], sims[order]
             best = np.arange(len(a)) - np.searchsorted(a, a) < k
+            if at_least is not None:
+                best &= sims >= at_least - 1e-6
             found.append((a[best], b[best], sims[best]))
         a, b, sims = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         return pa.table({"rep": pa.array([unit[i] for i in a], kt), "other": pa.array([unit[i] for i in b], kt), "similarity": pa.array(np.asarray(sims, float))})
@@ -542,7 +548,8 @@ def similar_vectors(
     single = offered.join(copies.select("rep"), "rep", "left_anti").select(F.col("rep").alias("key"), "neighbour", "similarity")
     each = several.unionByName(single).where("key <> neighbour")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "neighbour", "similarity", "rank")
+    out = each.withColumn("rank", rank).where(F.col("rank") <= k).select("key", "neighbour", "similarity", "rank")
+    return out if at_least is None else out.where(F.col("similarity") >= at_least - 1e-6)
 
 
 def _payload_rows(kind: Dense | Sparse):

@@ -79,7 +79,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Table, column and kind of p4; the similarity, inverted files and rows of a list of p4_found; files and rows of a list of p4_search.
 _SPACES = (
     ("image_train", "deep_features", ann.Dense(96), 0.9, (("plain", 3), ("plain", 2)), 128, (("plain", 0.09), ("plain", 0.09)), 16),
-    ("people_wiki", "tfidf", ann.Sparse(), 0.5, (("signs", 8), ("signs", 6)), 32, (("learned", 0.16), ("signs", 4)), 128),
+    ("people_wiki", "tfidf", ann.Sparse(), 0.5, (("signs", 5), ("signs", 4)), 16, (("learned", 0.16), ("signs", 4)), 128),
 )
 
 
@@ -87,8 +87,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those of the 5 nearest that are similar enough; near twins stand in the nearest lists."""
     parts = []
     for tbl, column, kind, least, files, rows, *_ in _SPACES:
-        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, files=files, list_rows=rows, rerank=24)
-        pair = near.where(F.col("similarity") >= least - 1e-6).select(F.lit(tbl).alias("tbl"), F.least("key", "neighbour").alias("id_a"), F.greatest("key", "neighbour").alias("id_b"))
+        near = ann.similar_vectors(table(spark, sf_dir, tbl), "id", column, kind, k=5, files=files, list_rows=rows, rerank=24, at_least=least)
+        pair = near.select(F.lit(tbl).alias("tbl"), F.least("key", "neighbour").alias("id_a"), F.greatest("key", "neighbour").alias("id_b"))
         parts.append(pair.distinct())
     return parts[0].unionByName(parts[1])
 
