@@ -134,3 +134,15 @@ def test_a_crowded_cell_is_cut_into_blocks_of_rows_and_seekers(spark, monkeypatc
     whole, fit = search(), ann.IvfPq.fit.__func__
     monkeypatch.setattr(ann.IvfPq, "fit", classmethod(lambda cls, *a, **k: fit(cls, *a[:4], 20.0, **k)))
     assert search() == whole and len(whole) == 1200
+
+
+def test_payloads_come_back_from_packing():
+    import pyarrow as pa
+
+    bags = [[(f"t{j}", 1.0 + j) for j in range(i, 2 * i + 1)] for i in range(30)]
+    payloads = ann.Sparse().payloads(pa.array(bags, pa.map_(pa.string(), pa.float64())))
+    for sample in (payloads, payloads[:3]):
+        packing = ann.Sparse().packing(sample)
+        back = packing.unpack(packing.pack(payloads))
+        as_map = lambda p: dict(zip(np.frombuffer(p, np.uint32, len(p) // 8).tolist(), np.frombuffer(p, np.float32, len(p) // 8, len(p) // 2).tolist(), strict=True))
+        assert [as_map(a) for a in back] == [as_map(a) for a in payloads]

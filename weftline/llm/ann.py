@@ -50,6 +50,9 @@ class Dense:
     def sketch(self, payloads: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(payloads), np.float32).reshape(-1, self.dim)
 
+    def packing(self, sample: list[bytes]) -> _Plain:
+        return _Plain()
+
     def view(self, name: str, number: int, sample: list[bytes]) -> Callable[[list[bytes]], np.ndarray]:
         """What an inverted file is built on: the vector itself."""
         return self.sketch
@@ -106,6 +109,10 @@ class Sparse:
         weights = np.frombuffer(b"".join(p[4 * k :] for p, k in zip(payloads, n, strict=True)), np.float32)
         return n, terms, weights
 
+    def packing(self, sample: list[bytes]) -> _ShortTerms:
+        terms, n = np.unique(self._parts(sample)[1], return_counts=True)
+        return _ShortTerms(np.sort(terms[np.argsort(-n, kind="stable")[:65_535]]).astype(np.uint32))
+
     def view(self, name: str, number: int, sample: list[bytes]) -> Callable[[list[bytes]], np.ndarray]:
         """What an inverted file is built on.
 
@@ -159,6 +166,42 @@ class Sparse:
         return dots
 
 
+class _Plain:
+    """Payloads travel as they are."""
+
+    def pack(self, payloads: list[bytes]) -> list[bytes]:
+        return payloads
+
+    unpack = pack
+
+
+@dataclass
+class _ShortTerms:
+    """Payloads travel with two bytes in place of four for each of the (at most 65,535) most frequent terms of the sample."""
+
+    terms: np.ndarray
+
+    def pack(self, payloads: list[bytes]) -> list[bytes]:
+        out = []
+        for p in payloads:
+            t = np.frombuffer(p, np.uint32, len(p) // 8)
+            at = np.minimum(np.searchsorted(self.terms, t), len(self.terms) - 1)
+            short = self.terms[at] == t
+            w = np.frombuffer(p, np.float32, len(t), 4 * len(t))
+            parts = (np.array([len(t), short.sum()], np.uint32), at[short].astype(np.uint16), t[~short], w[short], w[~short])
+            out.append(b"".join(x.tobytes() for x in parts))
+        return out
+
+    def unpack(self, packed: list[bytes]) -> list[bytes]:
+        out = []
+        for p in packed:
+            n, s = (int(v) for v in np.frombuffer(p, np.uint32, 2))
+            at = 8 + 2 * s
+            rest = 4 * (n - s)
+            out.append(self.terms[np.frombuffer(p, np.uint16, s, 8)].tobytes() + p[at : at + rest] + p[at + rest :])
+        return out
+
+
 class _Signs:
     """Sum of a vector's weights under random signs of its terms, in ``SKETCH_DIM`` dimensions, normalised."""
 
@@ -320,6 +363,7 @@ class _Files:
     indexes: list[IvfPq]
     probes: list[int]
     first_cell: np.ndarray
+    packing: _Plain | _ShortTerms
 
     @staticmethod
     def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,7 +444,7 @@ def similar_vectors(
     views = [kind.view(name, i, sample) for i, (name, _) in enumerate(files)]
     indexes = [IvfPq.fit(_Files.unit(v(sample))[0], n_lists, n_cells, sub, distinct / 24_000, seed=7 + i) for i, v in enumerate(views)]
     probes = [max(1, math.ceil(p * len(ix.centroids))) if p < 1 else int(p) for (_, p), ix in zip(files, indexes, strict=True)]
-    shared = spark.sparkContext.broadcast(_Files(views, indexes, probes, np.cumsum([0, *(len(ix.blocks) for ix in indexes)])))
+    shared = spark.sparkContext.broadcast(_Files(views, indexes, probes, np.cumsum([0, *(len(ix.blocks) for ix in indexes)]), kind.packing(sample)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -418,6 +462,7 @@ def similar_vectors(
                 if not kept:
                     continue
                 some = [payloads[i] for i in kept]
+                packed = dict(zip(kept, held.packing.pack(some), strict=True))
                 for view, ix, n_probe, offset in zip(held.views, held.indexes, held.probes, held.first_cell.tolist(), strict=False):
                     lists = ix.probes(held.unit(view(some))[0], n_probe)
                     rows: list[tuple] = []
@@ -436,7 +481,7 @@ def similar_vectors(
                                 places |= {(j, at) for j in range(n)}
                             for line, column in sorted(places):
                                 base = cell == own and line == at
-                                rows.append((offset + cell, line * n + column, keys[i], int(lists[r, 0]) if base else -1, probed if column == at else [], payloads[i]))
+                                rows.append((offset + cell, line * n + column, keys[i], int(lists[r, 0]) if base else -1, probed if column == at else [], packed[i]))
                     cell, block, key, base, probed, payload = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(cell, pa.int32()), pa.array(block, pa.int32()), pa.array(key, b.column(0).type), pa.array(base, pa.int32()), pa.array(probed, pa.list_(pa.int32())), pa.array(payload, pa.binary())],
@@ -464,8 +509,9 @@ def similar_vectors(
         rank_of = np.empty(len(unit), np.int64)
         rank_of[sorted(range(len(unit)), key=unit.__getitem__)] = np.arange(len(unit))
         kt = group.schema.field("key").type
-        x, norm = held.unit(held.views[file](names))
-        exact = kind.exact(names)
+        vectors = held.packing.unpack(names)
+        x, norm = held.unit(held.views[file](vectors))
+        exact = kind.exact(vectors)
         # rows by list, and what each seeker asks of each list, seekers in portions of bounded work
         of = np.array([bases.get(p, -1) for p in names])
         by_list = np.argsort(of, kind="stable")
