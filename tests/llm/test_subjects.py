@@ -72,3 +72,24 @@ def test_vocabulary_and_leaves_come_from_all_texts(spark):
     assert {"zeppelins", "lagoons"} <= set(m.place)
     leaf = {m.leaf(w) for _, t in rare for w, _ in S.own_sentences(t)}
     assert -1 not in leaf and not leaf & {m.leaf(w) for _, t in common[:50] for w, _ in S.own_sentences(t)}
+
+
+def test_leaves_are_the_same_wherever_a_task_takes_a_node(spark):
+    """Split by sums over the table down to 0, 60 or all rows a node; a small table takes few jobs."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(400):
+        words = np.sort(rng.choice(60, 5, replace=False))
+        x = rng.uniform(0.1, 1, 5)
+        rows.append((int(rng.integers(1 << 60)), words.tolist(), (x / np.linalg.norm(x)).tolist()))
+    vectors = spark.createDataFrame(rows, "mark long, words array<int>, weights array<float>").repartition(3).cache()
+    found = {}
+    for task_rows in (0, 60, 1000):
+        spark.sparkContext.setJobGroup(f"leaves-{task_rows}", "")
+        found[task_rows] = sorted((w.tolist(), np.round(v, 9).tolist()) for w, v in S._leaves(vectors, 60, 40, task_rows))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("leaves-1000"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found[0]) == 40 and found[0] == found[60] == found[1000]
+    assert jobs < 20

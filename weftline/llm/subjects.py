@@ -101,58 +101,76 @@ class SubjectModel:
         return found
 
 
-Run = Callable[[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str], pa.Table]
+#: Runs a task, given the state and all rows, and returns what it sends.
+Run = Callable[[Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str, tuple], pa.Table]
+
+
+def _look(state: tuple, b: pa.RecordBatch):
+    """Row, word and weight of the entries of a batch, and the node where each of its rows ends.
+
+    The state is the first child of each node, the width of a node's keys, and
+    how much more each word speaks for the second child, by node and word. Weights are multiples of
+    2^-24, so that their sums are exact in whatever order they are added.
+    """
+    child, stride, keys, values = state
+    words, weights = b.column(1), b.column(2)
+    row = np.repeat(np.arange(b.num_rows), np.diff(words.offsets.to_numpy()))
+    w, x = words.flatten().to_numpy().astype(np.int64), np.rint(weights.flatten().to_numpy().astype(float) * 2**24) / 2**24
+    node = b.column(3).to_numpy() if b.num_columns > 3 else np.zeros(b.num_rows, np.int64)
+    while True:
+        inner = child[node] >= 0
+        if not inner.any():
+            return row, w, x, node
+        on = inner[row]
+        key = node[row[on]] * stride + w[on]
+        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        part = np.where(keys[at] == key, values[at], 0.0) * x[on] if len(keys) else np.zeros(len(key))
+        side = np.bincount(row[on], part, minlength=b.num_rows) > 1e-9
+        node = np.where(inner, child[node] + side, node)
 
 
 class _Bisection:
-    """Splits sparse unit vectors (rows ``mark, words, weights``) level by level; a task sends sums of nodes, never rows.
+    """Splits sparse unit vectors (rows ``mark, words, weights``, and maybe the ``node`` they stand at) level by level.
 
-    ``run`` gives a task all rows and returns what the tasks send. A node's split depends on its rows
-    alone, so the leaves are those of splitting the node of the greatest spread again and again.
+    ``run`` gives a task all rows and returns what the tasks send: sums of nodes, never rows. A node's split
+    depends on its rows alone, so the leaves are those of splitting the node of the greatest spread again and
+    again, and it does not matter where a node is split.
     """
 
-    def __init__(self, run: Run, n_words: int, seed: int, rounds: int, least: int) -> None:
+    def __init__(self, run: Run, n_words: int, seed: int = 5, rounds: int = 6, least: int = 4) -> None:
         self.run, self.stride, self.seed, self.rounds, self.least = run, n_words + 1, seed, rounds, least
-        # of each node: its first child (the second follows), its rows, its words and their sums
-        self.child: list[int] = []
+        # of each node: its first child (the second follows), its way from the root, its rows, the length of their sum, its words and their sums
+        self.child: list[int] = [-1]
+        self.way: list[str] = [""]
         self.n: list[float] = []
+        self.norm: list[float] = []
         self.sums: list[tuple[np.ndarray, np.ndarray]] = []
         # how much more each word speaks for the second child, by node and word
         self.keys, self.values = np.zeros(0, np.int64), np.zeros(0)
 
-    def _look(self, extra: dict[int, int], keys: np.ndarray, values: np.ndarray):
-        """A function that gives the rows of a batch, the words and weights and the node where each row ends."""
-        child, stride = np.array(self.child, np.int64), self.stride
-        for node, first in extra.items():
+    def state(self, extra: dict[int, int] | None = None, keys: np.ndarray | None = None, values: np.ndarray | None = None) -> tuple:
+        """What ``_look`` needs, with the splits in ``extra`` that are not settled yet."""
+        child = np.full(len(self.child) + 2 * len(extra or ()), -1, np.int64)
+        child[: len(self.child)] = self.child
+        for node, first in (extra or {}).items():
             child[node] = first
+        return child, self.stride, self.keys if keys is None else keys, self.values if values is None else values
+
+    def _add(self, rows: float, words: np.ndarray, total: np.ndarray) -> None:
+        self.n.append(rows)
+        self.norm.append(float(np.linalg.norm(total)))
+        self.sums.append((words, total))
 
-        def look(b: pa.RecordBatch):
-            words, weights = b.column(1), b.column(2)
-            row = np.repeat(np.arange(b.num_rows), np.diff(words.offsets.to_numpy()))
-            w, x = words.flatten().to_numpy().astype(np.int64), weights.flatten().to_numpy().astype(float)
-            node = np.zeros(b.num_rows, np.int64)
-            while True:
-                inner = (node < len(child)) & (child[np.minimum(node, len(child) - 1)] >= 0)
-                if not inner.any():
-                    return row, w, x, node
-                on = inner[row]
-                key = node[row[on]] * stride + w[on]
-                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-                part = np.where(keys[at] == key, values[at], 0.0) * x[on] if len(keys) else np.zeros(len(key))
-                side = np.bincount(row[on], part, minlength=b.num_rows) > 1e-9
-                node = np.where(inner, child[np.minimum(node, len(child) - 1)] + side, node)
-
-        return look
-
-    def _sums(self, extra: dict[int, int], keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    def _sums(self, state: tuple, wanted: np.ndarray) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
         """Rows, words and sums of the wanted nodes."""
-        look, stride = self._look(extra, keys, values), self.stride
+        stride = self.stride
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def add(state: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, total = np.zeros(0, np.int64), np.zeros(0)
             for b in batches:
-                row, w, x, node = look(b)
-                on, own = np.isin(node[row], wanted), node[np.isin(node, wanted)]
+                row, w, x, node = _look(state, b)
+                mine = np.isin(node, wanted)
+                on, own = mine[row], node[mine]
                 # the last place of a node counts its rows
                 key = np.concatenate([key, node[row[on]] * stride + w[on], own * stride + stride - 1])
                 total = np.concatenate([total, x[on], np.ones(len(own))])
@@ -160,7 +178,7 @@ class _Bisection:
                 total = np.bincount(at, total, minlength=len(key))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], ["key", "total"])
 
-        sent = self.run(add, "key long, total double")
+        sent = self.run(add, "key long, total double", state)
         key, at = np.unique(sent.column(0).to_numpy(), return_inverse=True)
         total = np.bincount(at, sent.column(1).to_numpy(), minlength=len(key))
         out = {}
@@ -171,13 +189,13 @@ class _Bisection:
 
     def _least(self, nodes: list[int], scores: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
         """Words and weights of the row of each node with the least of each of the scores."""
-        look, chosen = self._look({}, self.keys, self.values), set(nodes)
+        chosen = set(nodes)
         shape = pa.schema([("node", pa.int64()), ("kind", pa.int32()), ("score", pa.float64()), ("mark", pa.int64()), ("words", pa.list_(pa.int32())), ("weights", pa.list_(pa.float32()))])
 
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def choose(state: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: dict[tuple[int, int], tuple] = {}
             for b in batches:
-                row, w, x, node = look(b)
+                row, w, x, node = _look(state, b)
                 mark = b.column(0).to_numpy()
                 for kind, score in enumerate(scores(mark, row, w, x, node)):
                     by = np.lexsort((mark, score, node))
@@ -189,7 +207,7 @@ class _Bisection:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True) if flat else [[]] * 6, shape.types, strict=True)], schema=shape)
 
         best: dict[int, dict[int, tuple]] = {n: {} for n in nodes}
-        for r in self.run(choose, "node long, kind int, score double, mark long, words array<int>, weights array<float>").to_pylist():
+        for r in self.run(choose, "node long, kind int, score double, mark long, words array<int>, weights array<float>", self.state()).to_pylist():
             held, new = best[r["node"]], (r["score"], r["mark"], r["words"], r["weights"])
             held[r["kind"]] = min(held.get(r["kind"], new), new)
         return {n: [(np.array(held[kind][2], np.int64), np.array(held[kind][3], float)) for kind in sorted(held)] for n, held in best.items()}
@@ -222,62 +240,152 @@ class _Bisection:
             keys = np.concatenate([self.keys, new_keys])
             by = np.argsort(keys, kind="stable")
             keys, values = keys[by], np.concatenate([self.values, np.bincount(at, new_values, minlength=len(new_keys))])[by]
-            before, sums = sums, self._sums(extra, keys, values, wanted)
+            before, sums = sums, self._sums(self.state(extra, keys, values), wanted)
             for n in nodes:
                 for j in (0, 1):
                     if (got := sums.get(extra[n] + j)) is not None:
                         centers[n][j] = (got[1], got[2] / max(float(np.linalg.norm(got[2])), 1e-9))
-            if before.keys() == sums.keys() and all(before[n][0] == s[0] and np.array_equal(before[n][1], s[1]) and np.allclose(before[n][2], s[2], rtol=0, atol=1e-9) for n, s in sums.items()):
+            if before.keys() == sums.keys() and all(before[n][0] == s[0] and np.array_equal(before[n][1], s[1]) and np.array_equal(before[n][2], s[2]) for n, s in sums.items()):
                 break
         self.keys, self.values = keys, values
         for n in nodes:
             for j in (0, 1):
-                rows, w, v = sums.get(extra[n] + j, (0.0, np.zeros(0, np.int64), np.zeros(0)))
                 self.child.append(-1)
-                self.n.append(rows)
-                self.sums.append((w, v))
+                self.way.append(f"{self.way[n]}{j}")
+                self._add(*sums.get(extra[n] + j, (0.0, np.zeros(0, np.int64), np.zeros(0))))
             self.child[n] = extra[n]
 
-    def leaves(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Words and weights of the unit centroids of at most ``k`` leaves."""
-        self.child = [-1]
-        whole = self._sums({}, self.keys, self.values, np.array([0]))
-        if not whole:
-            return []
-        self.n, self.sums = [whole[0][0]], [whole[0][1:]]
-        spread = lambda i: self.n[i] - float(np.linalg.norm(self.sums[i][1]))
+    def kept(self, k: int) -> tuple[set[int], list[int]]:
+        """The at most ``k`` - 1 nodes that are split, as far as is known, and those of them that have no children yet."""
+        spread = lambda i: self.n[i] - self.norm[i]
         halves = lambda i: all(self.n[self.child[i] + j] for j in (0, 1))
-        while True:
-            ends = [i for i, c in enumerate(self.child) if c < 0 and spread(i) >= 0.05 * self.n[i] and self.n[i] >= 2 * self.least]
-            split = [i for i, c in enumerate(self.child) if c >= 0 and halves(i)]
-            kept = set(sorted([*split, *ends], key=lambda i: (-spread(i), i))[: k - 1])
-            if not (todo := [i for i in ends if i in kept]):
-                break
+        ends = [i for i, c in enumerate(self.child) if c < 0 and spread(i) >= 0.05 * self.n[i] and self.n[i] >= 2 * self.least]
+        split = [i for i, c in enumerate(self.child) if c >= 0 and halves(i)]
+        best = set(sorted([*split, *ends], key=lambda i: (-spread(i), self.way[i]))[: k - 1])
+        return best & set(split), [i for i in ends if i in best]
+
+    def grow(self, k: int, over: int = 0, settle: Callable[[_Bisection, list[int]], None] | None = None) -> bool:
+        """Splits all nodes of more than ``over`` rows that are needed for ``k`` leaves; False where there are no rows."""
+        if not self.n:
+            whole = self._sums(self.state(), np.array([0]))
+            if not whole:
+                return False
+            self._add(*whole[0])
+        while todo := [i for i in self.kept(k)[1] if self.n[i] > over]:
+            if settle:
+                settle(self, todo)
             self._split(todo)
-        kept &= set(split)
-        out, todo = [], [0]
+        return True
+
+    def ends(self, k: int) -> list[int]:
+        """The leaves, at most ``k``."""
+        kept, out, todo = self.kept(k)[0], [], [0]
         while todo:
             i = todo.pop()
             if i in kept:
                 todo.extend((self.child[i], self.child[i] + 1))
             else:
-                w, v = self.sums[i]
-                out.append((w, v / max(float(np.linalg.norm(v)), 1e-9)))
+                out.append(i)
         return out
 
 
-def bisecting_means(x: np.ndarray, k: int, seed: int = 5, rounds: int = 6, least: int = 4) -> np.ndarray:
+def _unit(words: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return words, total / max(float(np.linalg.norm(total)), 1e-9)
+
+
+def _held_tree(rows: pa.RecordBatch, n_words: int, k: int) -> _Bisection:
+    """The splits of rows (``mark, words, weights``) that are at hand; rows of settled nodes are set aside."""
+    rows = pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(np.zeros(rows.num_rows, np.int64))], ["mark", "words", "weights", "node"])
+    held = [rows]
+
+    def settle(tree: _Bisection, todo: list[int]) -> None:
+        node = _look(tree.state(), held[0])[3]
+        moved = pa.RecordBatch.from_arrays([*held[0].columns[:3], pa.array(node)], held[0].schema.names)
+        held[0] = moved.take(pa.array(np.flatnonzero(np.isin(node, todo))))
+        tree.keys, tree.values = np.zeros(0, np.int64), np.zeros(0)
+
+    tree = _Bisection(lambda task, _, state: pa.Table.from_batches(task(state, iter(held))), n_words)
+    tree.grow(k, settle=settle)
+    return tree
+
+
+def bisecting_means(x: np.ndarray, k: int) -> np.ndarray:
     """Unit centroids of at most ``k`` leaves; the leaf with the greatest spread is split next."""
     words = pa.array([np.flatnonzero(v).astype(np.int32) for v in x], pa.list_(pa.int32()))
     weights = pa.array([v[v != 0].astype(np.float32) for v in x], pa.list_(pa.float32()))
-    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int64)), words, weights], ["mark", "words", "weights"])
-    found = _Bisection(lambda task, _: pa.Table.from_batches(task(iter([rows]))), x.shape[1], seed, rounds, least).leaves(k)
+    tree = _held_tree(pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int64)), words, weights], ["mark", "words", "weights"]), x.shape[1], k)
+    found = [_unit(*tree.sums[i]) for i in tree.ends(k)] if tree.n else []
     out = np.zeros((len(found), x.shape[1]), np.float32)
     for i, (w, v) in enumerate(found):
         out[i, w] = v
     return out
 
 
+def _leaves(vectors: DataFrame, n_words: int, k: int, task_rows: int = 200_000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Words and weights of the unit centroids of at most ``k`` leaves of the table ``mark, words, weights``.
+
+    Nodes of more than ``task_rows`` rows are split by sums over the whole
+    table; a smaller node goes to one task, which splits it to the end, in the
+    same way: the leaves are the same wherever that begins. The driver gets
+    the sizes of these nodes, and the sums of the leaves that are kept.
+    """
+    context = vectors.sparkSession.sparkContext
+
+    def run(task, shape: str, state: tuple) -> pa.Table:
+        # sent apart from the task, so that it can be removed at once
+        shared = context.broadcast(state)
+        try:
+            return vectors.mapInArrow(lambda batches: task(shared.value, batches), shape).toArrow()
+        finally:
+            shared.destroy()
+
+    tree = _Bisection(run, n_words)
+    if not tree.grow(k, task_rows):
+        return []
+    todo = tree.kept(k)[1]
+    if todo:
+        shared = context.broadcast((tree.state(), np.array(todo)))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, wanted = shared.value
+            for b in batches:
+                node = _look(state, b)[3]
+                moved = pa.RecordBatch.from_arrays([pa.array(node), *b.columns[:3]], ["node", "mark", "words", "weights"])
+                yield moved.take(pa.array(np.flatnonzero(np.isin(node, wanted))))
+
+        def finish(group: pa.Table) -> pa.Table:
+            own = group.select(["mark", "words", "weights"]).combine_chunks().to_batches()[0]
+            part = _held_tree(own, n_words, k)
+            words, sums = (pa.array([v[i] for v in part.sums], pa.list_(t)) for i, t in enumerate((pa.int32(), pa.float64())))
+            root = pa.array(np.full(len(part.n), group.column("node")[0].as_py()))
+            return pa.table({"root": root, "i": pa.array(range(len(part.n)), pa.int32()), "child": pa.array(part.child, pa.int32()), "way": pa.array(part.way), "n": pa.array(part.n), "norm": pa.array(part.norm), "words": words, "sums": sums})
+
+        rows = vectors.mapInArrow(place, "node long, mark long, words array<int>, weights array<float>")
+        below = rows.groupBy("node").applyInArrow(finish, "root long, i int, child int, way string, n double, norm double, words array<int>, sums array<double>")
+        below = materialize(below, "subject-nodes")
+        shared.destroy()
+        of: dict[int, tuple[int, int]] = {}
+        for part in below.select("root", "i", "child", "way", "n", "norm").toPandas().sort_values(["root", "i"]).groupby("root"):
+            root, nodes = part
+            # node 0 of a part is its root; the others follow the nodes that are known so far
+            name = lambda i, root=root, first=len(tree.child): root if i == 0 else first + i - 1
+            for i, child, way, n, norm in zip(*(nodes[c] for c in ("i", "child", "way", "n", "norm")), strict=True):
+                of[name(i)] = (int(root), int(i))
+                if i:
+                    tree.child.append(-1)
+                    tree.way.append(tree.way[root] + way)
+                    tree.n.append(n)
+                    tree.norm.append(norm)
+                    tree.sums.append((np.zeros(0, np.int64), np.zeros(0)))
+                if child >= 0:
+                    tree.child[name(i)] = name(child)
+        ends = tree.ends(k)
+        wanted = vectors.sparkSession.createDataFrame([of[i] for i in ends if i in of] or [(-1, -1)], "root long, i int")
+        sums = {(r["root"], r["i"]): (np.array(r["words"], np.int64), np.array(r["sums"], float)) for r in below.join(F.broadcast(wanted), ["root", "i"]).select("root", "i", "words", "sums").toArrow().to_pylist()}
+        return [_unit(*(sums[of[i]] if i in of else tree.sums[i])) for i in ends]
+    return [_unit(*tree.sums[i]) for i in tree.ends(k)]
+
+
 def _vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Words of at least 3 sentences that are no names, and their idf, counted over all texts.
 
@@ -346,8 +454,7 @@ def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int =
     model = SubjectModel(subjects, {w: i for i, w in enumerate(kept)}, idf, Leaves.of([], len(kept)))
     if kept and subjects:
         vectors = _sentences(texts, model)
-        found = _Bisection(lambda task, shape: vectors.mapInArrow(task, shape).toArrow(), len(kept), 5, 6, 4).leaves(leaves)
-        model.leaves = Leaves.of(found, len(kept))
+        model.leaves = Leaves.of(_leaves(vectors, len(kept), leaves), len(kept))
     if not model.leaves.number:
         model.mixture = np.zeros((1, len(subjects)))
         return model
