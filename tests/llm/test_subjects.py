@@ -93,3 +93,14 @@ def test_leaves_are_the_same_wherever_a_task_takes_a_node(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(found[0]) == 40 and found[0] == found[60] == found[1000]
     assert jobs < 20
+
+
+def test_areas_of_the_records_trained_on_are_the_same(spark, model):
+    """Texts are split once for training and for the areas: the rows are those of a second reading."""
+    d = "/root/testdata/sf0.01"
+    people, examples = table(spark, d, "people_wiki").select("id", "text"), table(spark, d, "subject_examples")
+    rows = lambda df: sorted(tuple(r) for r in df.distinct().collect())
+    got = rows(S.fitted_areas(people, "id", "text", examples))
+    assert len(got) > 500 and got == rows(S.subject_areas(people, "id", "text", model))
+    nothing = S.fitted_areas(frame(spark, []), "id", "text", frame(spark, []).select("subject", "text"))
+    assert nothing.columns == ["id", "subject", "n_sentences", "share"] and nothing.count() == 0

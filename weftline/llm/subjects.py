@@ -27,13 +27,19 @@ _END = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
-def own_sentences(text: str | None) -> Iterator[tuple[list[str], bool]]:
-    """Words of each sentence and whether it may tell of the person's own work."""
+def _plain_sentences(text: str | None) -> Iterator[tuple[list[str], str]]:
+    """Words of each sentence with any, and the sentence."""
     for part in _END.split((text or "").lower()):
         plain = " ".join(part.split())
         words = _WORD.findall(plain)
         if words:
-            yield words, not (_KIN_FIRST.search(plain) or _OTHERS.search(plain))
+            yield words, plain
+
+
+def own_sentences(text: str | None) -> Iterator[tuple[list[str], bool]]:
+    """Words of each sentence and whether it may tell of the person's own work."""
+    for words, plain in _plain_sentences(text):
+        yield words, not (_KIN_FIRST.search(plain) or _OTHERS.search(plain))
 
 
 @dataclass
@@ -92,7 +98,10 @@ class SubjectModel:
 
     def leaf(self, words: list[str]) -> int:
         """Nearest leaf, -1 where no word is known."""
-        key = self.known(words)
+        return self.leaf_of(self.known(words))
+
+    def leaf_of(self, key: tuple[int, ...]) -> int:
+        """The same by the places of the known words."""
         found = self.cache.get(key)
         if found is None:
             found = self.leaves.nearest(*self.vector(key)) if key and self.leaves.number else -1
@@ -394,15 +403,16 @@ def _vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            df, capital, small = Counter(), Counter(), Counter()
+            df, inside, capital, small = Counter(), Counter(), Counter(), Counter()
             for t in b.column(0).to_pylist():
-                for words, _ in own_sentences(t):
+                for words, _ in _plain_sentences(t):
                     df.update(set(words))
                     df[""] += 1  # all sentences
                 if not (t.isupper() or t.islower()):
                     for part in _END.split(t):
-                        for w in _WORD.findall(part)[1:]:
-                            (capital if w[0].isupper() else small)[w.lower()] += 1
+                        inside.update(_WORD.findall(part)[1:])
+            for w, n in inside.items():
+                (capital if w[0].isupper() else small)[w.lower()] += n
             every = sorted({*df, *capital, *small})
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[w] for w in every], pa.int64()) for c in (df, capital, small))], ["word", "n", "capital", "small"])
 
@@ -413,25 +423,50 @@ def _vocabulary(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     return kept, np.array([np.log(sentences / found[w]) for w in kept], np.float32)
 
 
-def _sentences(texts: DataFrame, model: SubjectModel) -> DataFrame:
-    """``mark, words, weights``: the vector of every distinct sentence of the texts."""
+def _split(texts: DataFrame, model: SubjectModel) -> DataFrame:
+    """``key, example, known, own``: the known words of the sentences of each text (``key, example, t``), and whether they may tell of own work.
+
+    Kept, so that the texts are split once for all that follows. The places of the words are packed.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(model)
+    key_type = dict(texts.dtypes)["key"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            known, own = [], []
+            for t in b.column(2).to_pylist():
+                found = [(key, o) for w, o in own_sentences(t) if (key := m.known(w))]
+                known.append([np.array(key, np.int32).tobytes() for key, _ in found])
+                own.append([o for _, o in found])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known, pa.list_(pa.binary())), pa.array(own, pa.list_(pa.bool_()))], ["key", "example", "known", "own"])
+
+    return materialize(texts.mapInArrow(place, f"key {key_type}, example boolean, known array<binary>, own array<boolean>"), "subject-split")
+
+
+def _sentences(split: DataFrame, model: SubjectModel) -> DataFrame:
+    """``mark, words, weights``: the vector of every distinct sentence of the texts."""
+    shared = split.sparkSession.sparkContext.broadcast(model)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = sorted({key for t in b.column(0).to_pylist() for w, _ in own_sentences(t) if (key := shared.value.known(w))})
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["known"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(k, np.int32) for k in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["known"])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [shared.value.vector(tuple(k)) for k in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([w for w, _ in at], pa.list_(pa.int32())), pa.array([v for _, v in at], pa.list_(pa.float32()))], ["mark", "words", "weights"])
 
-    distinct = texts.mapInArrow(place, "known array<int>").distinct()
+    distinct = split.select(F.explode("known").alias("known")).distinct().mapInArrow(unpack, "known array<int>")
     return materialize(distinct.select(F.xxhash64("known").alias("mark"), "known").mapInArrow(weigh, "mark long, words array<int>, weights array<float>"), "subject-sentences")
 
 
 def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int = 1500, sharpen: int = 3, spread: float = 0.5, most_examples: int = 20_000) -> SubjectModel:
+    """The model of ``_fit``."""
+    return _fit(records, None, text_col, examples, leaves, sharpen, spread, most_examples)[0]
+
+
+def _fit(records: DataFrame, key_col: str | None, text_col: str, examples: DataFrame, leaves: int = 1500, sharpen: int = 3, spread: float = 0.5, most_examples: int = 20_000) -> tuple[SubjectModel, DataFrame | None]:
     """Fits leaves on the sentences of all texts and labels them from the examples and the whole collection.
 
     Words are counted over all texts, and the rounds of the clustering are sums
@@ -441,23 +476,29 @@ def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int =
     records: a leaf takes the subjects of the documents in which its sentences
     stand, so far as these exceed the subjects of all documents, and the
     labels are sharpened ``sharpen`` times over the whole collection.
+
+    Returns the model and, if it has leaves, the ``key`` (the column ``key_col``)
+    and the leaves of the own sentences of each record with a text.
     """
     given = [(r.subject, r.text) for r in examples.where("subject is not null and text is not null").select("subject", "text").limit(most_examples + 1).collect()]
     if len(given) > most_examples:
         raise ValueError(f"over {most_examples} labelled examples")
     subjects = sorted({s for s, _ in given})
     shown = [(subjects.index(s), w) for s, t in given for w, own in own_sentences(t) if own]
-    texts = records.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"))
+    key = (F.col(key_col) if key_col else F.lit(None).cast("long")).alias("key")
+    texts = records.where(F.col(text_col).isNotNull()).select(key, F.lit(False).alias("example"), F.col(text_col).cast("string").alias("t"))
     if given:
-        texts = texts.unionByName(records.sparkSession.createDataFrame([(t,) for _, t in given], "t string"))
-    kept, idf = _vocabulary(texts)
+        told = records.sparkSession.createDataFrame([(t,) for _, t in given], "t string")
+        texts = texts.unionByName(told.select(F.lit(None).cast(dict(texts.dtypes)["key"]).alias("key"), F.lit(True).alias("example"), "t"))
+    kept, idf = _vocabulary(texts.select("t"))
     model = SubjectModel(subjects, {w: i for i, w in enumerate(kept)}, idf, Leaves.of([], len(kept)))
     if kept and subjects:
-        vectors = _sentences(texts, model)
+        split = _split(texts, model)
+        vectors = _sentences(split, model)
         model.leaves = Leaves.of(_leaves(vectors, len(kept), leaves), len(kept))
     if not model.leaves.number:
         model.mixture = np.zeros((1, len(subjects)))
-        return model
+        return model, None
 
     # discriminative terms: how much more often a term stands in a subject's examples than in all
     n_of = np.ones((len(subjects), len(kept)))
@@ -478,7 +519,7 @@ def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int =
     # seeds: leaves whose examples agree and whose terms say the same
     model.mixture = np.where((pure >= 0.8) & (by_terms > 0), pure, 0.0)
 
-    lists = _leaf_lists(records, text_col, model)
+    lists = _leaf_lists(split.where("not example"), model)
     for _ in range(sharpen):
         together, alone = _co_occurrence(lists, model)
         base = together.sum(0) / max(alone.sum(), 1.0)
@@ -486,21 +527,31 @@ def train(records: DataFrame, text_col: str, examples: DataFrame, leaves: int =
         lift = np.maximum(rate - base, 0) / np.maximum(1 - base, 1e-9)
         learnt = np.where((lift >= spread) & (lift >= lift.max(1, keepdims=True)) & (alone[:, None] >= 3), lift, 0.0)
         model.mixture = np.where(alone[:, None] >= 3, learnt, model.mixture)
-    return model
+    return model, lists
 
 
-def _leaf_lists(records: DataFrame, text_col: str, model: SubjectModel) -> DataFrame:
-    """The leaves of the own sentences of every text, kept so that texts are read once for all rounds."""
-    shared = records.sparkSession.sparkContext.broadcast(model)
+def _leaf_lists(split: DataFrame, model: SubjectModel) -> DataFrame:
+    """``key, leaves``: the leaves of the own sentences of every text, kept for all rounds."""
+    shared = split.sparkSession.sparkContext.broadcast(model)
+    key_type = dict(split.dtypes)["key"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        held: dict[bytes, int] = {}
         for b in batches:
-            found = [sorted({leaf for w, own in own_sentences(t) if own and (leaf := m.leaf(w)) >= 0}) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["leaves"])
+            lists = []
+            for known, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                lists.append([])
+                for key, o in zip(known, own, strict=True):
+                    if o:
+                        if (leaf := held.get(key)) is None:
+                            leaf = m.leaf_of(tuple(np.frombuffer(key, np.int32).tolist()))
+                            if len(held) < 100_000:
+                                held[key] = leaf
+                        lists[-1].append(leaf)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int32()))], ["key", "leaves"])
 
-    texts = records.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"))
-    return materialize(texts.mapInArrow(place, "leaves array<int>"), "subject-leaves")
+    return materialize(split.select("key", "known", "own").mapInArrow(place, f"key {key_type}, leaves array<int>"), "subject-leaves")
 
 
 def _co_occurrence(lists: DataFrame, model: SubjectModel) -> tuple[np.ndarray, np.ndarray]:
@@ -516,7 +567,7 @@ def _co_occurrence(lists: DataFrame, model: SubjectModel) -> tuple[np.ndarray, n
         mix = shared.value
         together, alone = np.zeros((n_leaves, n_subjects)), np.zeros(n_leaves)
         for b in batches:
-            for found in b.column(0).to_pylist():
+            for found in map(sorted, map(set, b.column(0).to_pylist())):
                 # what the other sentences tell, for each leaf of the document
                 rest = mix[found].sum(0) - mix[found]
                 told = rest.sum(1) > 1e-9
@@ -525,7 +576,7 @@ def _co_occurrence(lists: DataFrame, model: SubjectModel) -> tuple[np.ndarray, n
                 alone[at] += 1
         yield pa.RecordBatch.from_arrays([pa.array([together.ravel().tolist()]), pa.array([alone.tolist()])], ["together", "alone"])
 
-    rows = lists.mapInArrow(count, "together array<double>, alone array<double>")
+    rows = lists.select("leaves").mapInArrow(count, "together array<double>, alone array<double>")
     sums = rows.select(F.posexplode(F.concat("together", "alone"))).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     flat = np.zeros(n_leaves * (n_subjects + 1))
     for r in sums:
@@ -549,23 +600,41 @@ def subject_areas(records: DataFrame, key_col: str, text_col: str, model: Subjec
     shared = records.sparkSession.sparkContext.broadcast(model)
     key_type = dict(records.dtypes)[key_col]
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        of_leaf = np.where(m.mixture.max(1) >= clear, m.mixture.argmax(1), -1) if m.subjects else np.zeros(0, int)
+        for b in batches:
+            lists = [[m.leaf(words) for words, own in own_sentences(text) if own and m.subjects] for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int32()))], ["key", "leaves"])
+
+    given = records.where(F.col(key_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    return _areas(given.mapInArrow(place, f"key {key_type}, leaves array<int>"), key_col, model, least_sentences, clear)
+
+
+def fitted_areas(records: DataFrame, key_col: str, text_col: str, examples: DataFrame, least_sentences: int = 2, clear: float = 0.5) -> DataFrame:
+    """``subject_areas`` of the records on which the model is trained; their texts are split once for both."""
+    model, lists = _fit(records, key_col, text_col, examples)
+    if lists is None:
+        return subject_areas(records, key_col, text_col, model, least_sentences, clear)
+    return _areas(lists.where("key is not null"), key_col, model, least_sentences, clear)
+
+
+def _areas(lists: DataFrame, key_col: str, model: SubjectModel, least_sentences: int, clear: float) -> DataFrame:
+    """Subjects of each ``key`` with the ``leaves`` of its own sentences (-1: none)."""
+    key_type = dict(lists.dtypes)["key"]
+    subjects = model.subjects
+    of_leaf = np.where(model.mixture.max(1) >= clear, model.mixture.argmax(1), -1) if subjects else np.zeros(0, int)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, rows = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                told = Counter()
-                for words, own in own_sentences(text):
-                    if own and m.subjects and (leaf := m.leaf(words)) >= 0 and of_leaf[leaf] >= 0:
-                        told[int(of_leaf[leaf])] += 1
+            for i, leaves in enumerate(b.column(1).to_pylist()):
+                told = Counter(int(of_leaf[leaf]) for leaf in leaves if leaf >= 0 and of_leaf[leaf] >= 0)
                 for s, n in sorted(told.items()):
                     if n >= least_sentences:
                         at.append(i)
-                        rows.append((m.subjects[s], n, n / told.total()))
+                        rows.append((subjects[s], n, n / told.total()))
             if rows:
                 s, n, share = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(s), pa.array(n, pa.int32()), pa.array(share)], ["key", "subject", "n_sentences", "share"])
 
-    given = records.where(F.col(key_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(scan, f"key {key_type}, subject string, n_sentences int, share double").withColumnRenamed("key", key_col)
+    return lists.mapInArrow(scan, f"key {key_type}, subject string, n_sentences int, share double").withColumnRenamed("key", key_col)
