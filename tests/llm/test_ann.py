@@ -146,3 +146,57 @@ def test_payloads_come_back_from_packing():
         back = packing.unpack(packing.pack(payloads))
         as_map = lambda p: dict(zip(np.frombuffer(p, np.uint32, len(p) // 8).tolist(), np.frombuffer(p, np.float32, len(p) // 8, len(p) // 2).tolist(), strict=True))
         assert [as_map(a) for a in back] == [as_map(a) for a in payloads]
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_all_sparse_pairs_above_a_similarity(spark, block):
+    rng = np.random.default_rng(6)
+    maps = []
+    for g in range(60):
+        core = {f"g{g}_{t}": float(rng.uniform(2, 5)) for t in range(3)}
+        for _ in range(rng.integers(1, 9)):
+            maps.append({**core, f"u{len(maps)}": float(rng.uniform(0, 7)), "the": 1.0, f"c{rng.integers(5)}": float(rng.uniform(0, 4))})
+    maps += [maps[0]] * 8 + [maps[5]] * 2 + [{"solo": 1.0}]
+    rows = [(i, m, 1, 2) for i, m in enumerate(maps)] + [(0, maps[0], 1, 2), (900, {}, 1, 2), (901, None, 1, 2), (902, {"a": 0.0}, 1, 2), (None, {"a": 1.0}, 1, 2)]
+    df = spark.createDataFrame(rows, "id long, m map<string,double>, rep int, mark int")
+    got: dict = {}
+    for r in sorted(ann.similar_above(df, "id", "m", 0.5, 3, block).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.key, []).append((r.neighbour, round(r.similarity, 6)))
+    norm = [sum(v * v for v in m.values()) ** 0.5 for m in maps]
+    dot = lambda a, b: sum(v * maps[b].get(t, 0) for t, v in maps[a].items()) / norm[a] / norm[b]
+    want = {}
+    for a in range(len(maps)):
+        sims = {b: round(dot(a, b), 6) for b in range(len(maps)) if b != a}
+        if near := [(b, sims[b]) for b in sorted(sims, key=lambda b: (-sims[b], b))[:3] if sims[b] >= 0.5]:
+            want[a] = near
+    assert len(want) > 100 and {a: [b for b, _ in v] for a, v in got.items()} == {a: [b for b, _ in v] for a, v in want.items()}
+    assert ann.similar_above(df.limit(0), "id", "m", 0.5).count() == 0
+
+
+def test_p4_found_finds_all_pairs_just_above_the_bound(spark, tmp_path):
+    """Pairs of similarity 0.52 that share one rare term, among many records of the same common terms."""
+    from weftline.llm.queries import p4_found
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):
+        common = rng.choice(40, 12, replace=False)
+        rest = rng.uniform(0.5, 1.5, 12)
+        rest *= np.sqrt(0.5) / np.linalg.norm(rest)
+        rows.append((i, {f"p{i // 2}": float(np.sqrt(0.5)), **{f"c{t}": float(x) for t, x in zip(common, rest, strict=True)}}))
+    spark.createDataFrame(rows, "id long, tfidf map<string,double>").write.parquet(f"{tmp_path}/people_wiki.parquet")
+    spark.createDataFrame([], "id long, deep_features array<double>").write.parquet(f"{tmp_path}/image_train.parquet")
+    x = np.zeros((3000, 1540))
+    for i, m in rows:
+        for t, w in m.items():
+            x[i, int(t[1:]) + (1500 if t[0] == "c" else 0)] = w
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -1)
+    want = set()
+    for a in range(3000):
+        for b in np.lexsort((np.arange(3000), -np.round(sims[a], 6)))[:5].tolist():
+            if round(sims[a, b], 6) >= 0.5:
+                want.add((min(a, b), max(a, b)))
+    got = {(r.id_a, r.id_b) for r in p4_found(spark, str(tmp_path)).collect()}
+    assert len(want) > 1000 and got == want
