@@ -74,3 +74,22 @@ def test_boosting_without_jobs_is_the_same(spark):
     assert [s for _, s in few] == [s for _, s in many] and np.allclose([v for v, _ in few], [v for v, _ in many])
     errors = [r.error for r in TR.staged_errors(df, few, "y").orderBy("stage").collect()]
     assert len(errors) == 4 and errors[0] == pytest.approx(TR.error_rate(df, few[0][1], "y").first().error)
+
+
+def test_recommendations_do_not_depend_on_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    had = {(int(u), f"i{i:02d}") for u, i in zip(rng.integers(0, 60, 500), rng.integers(0, 40, 500), strict=True)} | {(7, f"i{i:02d}") for i in range(35)} | {(8, "only"), (9, None), (3, None)}
+    pairs = spark.createDataFrame(sorted(had, key=str), "user long, item string")
+    users = {i: {u for u, x in had if x == i} for _, i in had if i}
+    sim = {(a, b): len(users[a] & users[b]) / len(users[a] | users[b]) for a in users for b in users if a != b and users[a] & users[b]}
+    want = {}
+    for u in {u for u, _ in had}:
+        own, n = {i for w, i in had if w == u and i}, sum(w == u for w, _ in had)
+        scores = {o: round(sum(sim.get((i, o), 0) for i in sorted(own)) / n, 12) for o in users if o not in own and any((i, o) in sim for i in own)}
+        want |= {(u, r + 1): o for r, o in enumerate(sorted(scores, key=lambda o: (-scores[o], o))[:4])}
+    for tile, entries in ((1024, 2_000_000), (7, 20)):
+        monkeypatch.setattr(RC, "TILE", tile, raising=False)
+        monkeypatch.setattr(RC, "ENTRIES", entries, raising=False)
+        similarity = RC.item_similarity(pairs, "user", "item", block=tile)
+        assert {(r.item_a, r.item_b): r.similarity for r in similarity.collect()} == {k: v for k, v in sim.items() if k[0] < k[1]}
+        assert {(r.user, r["rank"]): r.item for r in RC.recommend_similar(pairs, similarity, "user", "item", 4).collect()} == want
