@@ -93,3 +93,28 @@ def test_recommendations_do_not_depend_on_tiles(spark, monkeypatch):
         similarity = RC.item_similarity(pairs, "user", "item", block=tile)
         assert {(r.item_a, r.item_b): r.similarity for r in similarity.collect()} == {k: v for k, v in sim.items() if k[0] < k[1]}
         assert {(r.user, r["rank"]): r.item for r in RC.recommend_similar(pairs, similarity, "user", "item", 4).collect()} == want
+
+
+def _shuffled(spark, run):
+    """Records that the stages of run() write for shuffles."""
+    context = spark.sparkContext
+    store, jvm = context._jsc.sc().statusStore(), context._gateway
+
+    def total():
+        context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if k not in before)
+
+
+def test_sums_of_users_and_items_are_not_shuffled(spark):
+    rng = np.random.default_rng(6)
+    pairs = spark.createDataFrame([(u, i) for u in range(1500) for i in rng.choice(120, 4, replace=False).tolist()], "user long, item long")
+    similarity = RC.item_similarity(pairs, "user", "item").collect()
+    kept = spark.createDataFrame(similarity)
+    sums = 1500 * 100
+    n = _shuffled(spark, lambda: RC.recommend_similar(pairs, kept, "user", "item", 3).collect())
+    assert n < 0.6 * sums, n
